@@ -1,6 +1,5 @@
 """The queries of the engine over the tables of a data folder, and their SQL."""
 
-from __future__ import annotations
+from jobloom.plans.registered import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
