@@ -68,15 +68,14 @@ def fold_liveness(probes: DataFrame, threshold: int = K.LIVENESS_THRESHOLD) -> D
     """(key, open, streak) after all probes (key, at, outcome, complete) in order of time.
 
     Alive opens and resets; dead closes and resets if the reading was complete; the others
-    count, and close at the threshold unless that is not positive. What matters after
-    the last probe that resets is the number of inconclusive ones, so a window-free
-    aggregation gives it, with partial sums before the shuffle for most of it."""
+    count, and close at the threshold unless that is not positive. Only the last probe that
+    resets and the number of inconclusive ones after it matter; both come from
+    aggregations with partial results before the shuffle, so a much-probed key is no hot spot."""
     reset = (F.col("outcome") == "alive") | ((F.col("outcome") == "dead") & F.col("complete"))
-    w = Window.partitionBy("key").orderBy(F.desc("at"))
-    after = probes.withColumn("resets", F.sum(F.when(reset, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    last = F.max(F.when(reset & (F.col("resets") == 1), F.when(F.col("outcome") == "alive", 1).otherwise(0)))
-    streak = F.count_if((F.col("resets") == 0) & (F.col("outcome") == "inconclusive"))
-    done = after.groupBy("key").agg(F.coalesce(last, F.lit(1)).alias("was_open"), streak.alias("streak"))
+    last = probes.groupBy("key").agg(F.max(F.when(reset, F.struct("at", "outcome"))).alias("last"))
+    since = F.col("last").isNull() | (F.col("at") > F.col("last.at"))
+    streak = F.count_if(since & (F.col("outcome") == "inconclusive"))
+    done = probes.join(last, "key").groupBy("key").agg(F.coalesce(F.max((F.col("last.outcome") == "alive").cast("int")), F.lit(1)).alias("was_open"), streak.alias("streak"))
     crossed = F.lit(threshold > 0) & (F.col("streak") >= threshold)
     return done.select("key", ((F.col("was_open") == 1) & ~crossed).alias("open"), F.col("streak").cast("long").alias("streak"))
 
