@@ -96,3 +96,77 @@ def histogram_quantile(buckets: DataFrame, q: float, by: list[str]) -> DataFrame
     value = F.col("lo") + (F.col("le") - F.col("lo")) * (target - (F.col("cum") - F.col("n"))) / F.col("n")
     hit = c.filter((F.col("cum") >= target) & (F.col("cum") - F.col("n") < target))
     return hit.select(*by, F.round(value, 6).alias("quantile"))
+
+
+def gate_findings(rows: DataFrame) -> DataFrame:
+    """(url, finding) of rows (url, category, positive, outcome, accepted), outcome being reject,
+    uncertain or certain_accept. A row may have several findings: a positive that is
+    rejected leaks; a negative that is certainly accepted is a false certain, unless accepted
+    as such; board roots must be certain and aggregators be rejected."""
+    o, positive = F.col("outcome"), F.coalesce("positive", F.lit(False))
+    false_certain = ~positive & (o == "certain_accept")
+    accepted = F.coalesce("accepted", F.lit(False))
+    want = F.when(F.col("category") == "hub_ats_root", "certain_accept").when(F.col("category") == "aggregator", "reject")
+    found = F.array(
+        F.when(positive & (o == "reject"), "leak"), F.when(false_certain & ~accepted, "false_certain"), F.when(false_certain & accepted, "accepted_false_certain"), F.when(o != want, "violation"))
+    return rows.select("url", F.explode(F.array_compact(found)).alias("finding"))
+
+
+def gate_scorecard(rows: DataFrame) -> DataFrame:
+    """One row: total, llm_calls, llm_call_rate and the number of each finding."""
+    kinds = ["leak", "false_certain", "accepted_false_certain", "violation"]
+    counts = gate_findings(rows).agg(*[F.count_if(F.col("finding") == k).alias(k + "s") for k in kinds])
+    total = rows.agg(F.count("*").alias("total"), F.count_if(F.col("outcome") == "uncertain").alias("llm_calls"))
+    both = total.join(F.broadcast(counts))  # two single rows
+    return both.select("total", "llm_calls", rate(F.col("llm_calls"), F.col("total")).alias("llm_call_rate"), *[k + "s" for k in kinds])
+
+
+def extract_scorecard(rows: DataFrame) -> DataFrame:
+    """One row of rows (url, label, extract): calls over all rows, the confusion over those whose
+    label is not ambiguous, detail being positive."""
+    label, called = F.col("label"), F.col("extract")
+    scored, gold = label != "ambiguous", label == "detail"
+    n = lambda c, name: F.count_if(c).alias(name)
+    sums = rows.agg(
+        F.count("*").alias("total"), n(called, "extract_calls"), n(~scored, "ambiguous"), n(~scored & called, "ambiguous_extracted"), n(label == "residue", "residue"), n((label == "residue") & called, "residue_extracted"),
+        n(gold & called, "tp"), n(scored & ~gold & called, "fp"), n(gold & ~called, "fn"), n(scored & ~gold & ~called, "tn"))
+    c = F.col
+    out = sums.select("*", rate(c("extract_calls"), c("total")).alias("extract_call_rate"), rate(c("tp"), c("tp") + c("fp")).alias("precision"), rate(c("tp"), c("tp") + c("fn")).alias("recall"))
+    return out.withColumn("f1", rate(2 * c("precision") * c("recall"), c("precision") + c("recall")))
+
+
+def free_scorecard(rows: DataFrame) -> DataFrame:
+    """One row of rows (url, label, weight, free, accepted, expected): how much is read without a
+    model, plainly and by weight; firings on what is no posting; expectations missing or unused."""
+    free, detail = F.col("free"), F.col("label") == "detail"
+    stray = free & ~detail
+    forgiven = F.col("accepted") & (F.col("label") == "residue")
+    weight = lambda c, name: F.sum(F.when(c, F.col("weight")).otherwise(0.0)).alias(name)
+    n = lambda c, name: F.count_if(c).alias(name)
+    s = rows.agg(
+        F.count("*").alias("total"), n(free, "free"), n(detail, "details"), n(detail & free, "details_free"), n(stray & ~forgiven, "fired_on_non_posting"), n(stray & forgiven, "accepted_fires"),
+        n(free & ~F.col("expected"), "missing_expectation"), n(~free & F.col("expected"), "unused_expectation"),
+        weight(F.lit(True), "w"), weight(free, "w_free"), weight(detail, "w_detail"), weight(detail & free, "w_detail_free"))
+    c = F.col
+    return s.select(
+        "total", "free", "details", "details_free", "fired_on_non_posting", "accepted_fires", "missing_expectation", "unused_expectation",
+        rate(c("free"), c("total")).alias("free_rate"), rate(c("w_free"), c("w")).alias("stream_free_share"), rate(c("details_free"), c("details")).alias("coverage"), rate(c("w_detail_free"), c("w_detail")).alias("weighted_coverage"))
+
+
+def field_divergences(want: DataFrame, got: DataFrame, fields: list[str]) -> DataFrame:
+    """(url, field, want, got) where the two differ; both have url and the fields, as strings."""
+    long = lambda d, name: d.unpivot("url", fields, "field", name)
+    return long(want, "want").join(long(got, "got"), ["url", "field"]).filter(~F.col("want").eqNullSafe(F.col("got")))
+
+
+def metric_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(metric, before, after, delta) of two reports (metric, value); metrics in neither are absent."""
+    b, a = before.select("metric", F.col("value").alias("before")), after.select("metric", F.col("value").alias("after"))
+    return b.join(a, "metric", "full").select("metric", "before", "after", F.round(F.coalesce("after", F.lit(0.0)) - F.coalesce("before", F.lit(0.0)), 4).alias("delta"))
+
+
+def capture_timeline(captures: DataFrame) -> DataFrame:
+    """(url, seq, verdict, timeline) of captures (url, ts, verdict, seq): the latest by ts as text, of
+    equal ones the later, and all (ts, verdict) in order."""
+    latest = F.max_by(F.struct("seq", "verdict"), F.struct("ts", "seq"))
+    return captures.groupBy("url").agg(latest.alias("l"), F.sort_array(F.collect_list(F.struct("ts", "seq", "verdict"))).alias("timeline")).select("url", "l.seq", "l.verdict", "timeline")

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from jobloom.functions import constants as K
-from jobloom.functions import urls
+from jobloom.functions import identity, urls
 from jobloom.functions.text import fold, vocabulary_groups
 
 
@@ -84,6 +84,13 @@ def role_designation(title: Column) -> Column:
     return fold(title).rlike(r"\(\s*[mwfd]\s*[/|:]\s*[mwfdx]\s*([/|:]\s*[mwfdx]\s*)?\)")
 
 
+def posting_path(url: Column) -> Column:
+    """Whether a path goes on below a segment that names jobs and does not end in a hub."""
+    segs = F.transform(urls.segments(url), lambda s: F.lower(s))
+    before = F.slice(segs, F.lit(1), F.greatest(F.size(segs) - 1, F.lit(0)))
+    return F.exists(before, lambda s: s.isin(K.JOB_PATH_SEGMENTS)) & ~F.coalesce(F.try_element_at(segs, F.lit(-1)).isin(K.TERMINAL_HUB_WORDS), F.lit(False))
+
+
 def saturation(links: Column, k: int) -> Column:
     return F.lit(0.0) if k <= 0 else F.least(links.cast("double") / k, F.lit(1.0))
 
@@ -97,15 +104,15 @@ def confidence(url: Column, title: Column, links: Column, embed: Column, jsonld_
 
 
 def gate(url: Column, title: Column, links: Column, embed: Column, jsonld_index: Column) -> Column:
-    """struct(accept, certain) of a page that is on no known job board."""
+    """struct(accept, certain) of a page: what its host and path say, else its score."""
     segs = F.transform(urls.segments(url), lambda s: F.lower(s))
     verdict = lambda a, c: F.struct(F.lit(a).alias("accept"), F.lit(c).alias("certain"))
-    before = F.slice(segs, F.lit(1), F.greatest(F.size(segs) - 1, F.lit(0)))
-    posting = F.exists(before, lambda s: s.isin(K.JOB_PATH_SEGMENTS)) & ~F.coalesce(F.element_at(segs, -1).isin(K.TERMINAL_HUB_WORDS), F.lit(False))
+    kind = identity.role(url)
     score = confidence(url, title, links, embed, jsonld_index)
     return (
-        F.when(F.exists(segs, lambda s: s.isin(K.REJECT_PATH_SIGNALS)), verdict(False, False)).when(posting, verdict(False, False))
-        .when(F.element_at(segs, -1).isin(K.CAREER_PATH_SIGNALS), verdict(True, True)).when(score >= K.CERTAIN, verdict(True, True))
+        F.when(identity.is_aggregator(url), verdict(False, True)).when(kind == "career_page", verdict(True, True)).when(kind == "job_listing", verdict(False, False))
+        .when(F.exists(segs, lambda s: s.isin(K.REJECT_PATH_SIGNALS)), verdict(False, False)).when(posting_path(url), verdict(False, False))
+        .when(F.try_element_at(segs, F.lit(-1)).isin(K.CAREER_PATH_SIGNALS), verdict(True, True)).when(score >= K.CERTAIN, verdict(True, True))
         .when(score <= K.REJECT, verdict(False, False)).otherwise(verdict(True, False)))
 
 
@@ -113,3 +120,29 @@ def positive_evidence(url: Column, title: Column, body: Column, lone_posting: Co
     low = F.lower(body)
     groups = vocabulary_groups(low)
     return F.coalesce(posting_url(url), F.lit(False)) | lone_posting | title_announces_vacancy(title) | (groups >= 4) | ((groups >= 2) & (apply_affordance(low) | role_designation(title)))
+
+
+def extract_rung(url: Column, links: Column, embed: Column, openings_index: Column, evidence: Column, k: int = K.LINK_SATURATION) -> Column:
+    """Why a page is not read for a posting: the first rung that holds it back, '' if none.
+    Postings on a known board are always read."""
+    kind = identity.role(url)
+    segs = F.transform(urls.segments(url), lambda s: F.lower(s))
+    last = F.try_element_at(segs, F.lit(-1))
+    bare = F.regexp_replace(last, r"\.(html?|php|aspx?|jsp)$", "")
+    signal = lambda words: F.exists(segs, lambda s: s.isin(words))
+    below_jobs = F.exists(F.slice(segs, F.lit(1), F.greatest(F.size(segs) - 1, F.lit(0))), lambda s: s.isin(K.JOB_PATH_SEGMENTS))
+    root = (F.size(segs) == 0) | ((F.size(segs) == 1) & urls.is_locale_segment(F.get(segs, F.lit(0))))
+    return (
+        F.when(kind == "career_page", "ats_board_root").when(kind == "job_listing", "").when(root, "bare_or_locale_root")
+        .when(bare.isin(K.TERMINAL_HUB_WORDS + K.INDEX_TERMINALS), "index_terminal").when(signal(K.REJECT_PATH_SIGNALS), "reject_path")
+        .when(~below_jobs & signal(K.CAREER_PATH_SIGNALS), "career_index").when(embed, "ats_embed").when(openings_index, "openings_index")
+        .when(saturation(links, k) >= 1, "job_link_saturation").when(~evidence, "positive_evidence").otherwise(""))
+
+
+def withdrawn(body: Column, declared: Column) -> Column:
+    """Whether a page withdraws its posting: by a phrase, or by showing far less, in bytes, than the
+    description it declares. Both are flattened texts."""
+    shown, said = F.octet_length(F.coalesce(body, F.lit(""))), F.octet_length(F.coalesce(declared, F.lit("")))
+    phrase = F.exists(F.array(*[F.lit(p) for p in K.CLOSURE_PHRASES]), lambda p: F.contains(F.lower(body), p))
+    short = (said > 0) & ((shown == 0) | (said > K.MAX_DECLARED_RATIO * shown))
+    return F.coalesce(phrase, F.lit(False)) | short
