@@ -1,14 +1,23 @@
-"""Who owns a URL: job-board rules, registrable domains, roles of URLs, as Column expressions."""
+"""Who owns a URL: job-board rules, registrable domains, roles of URLs, as Column expressions.
+
+Functions that need the board take it as ``b`` where a plan has it in a column already, so
+that it is worked out once a row and the plan stays small."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.functions import constants as K
 from jobloom.functions import urls
 
 
+def with_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are worked out once a row. The optimizer copies large expressions
+    into the filters and projections above them; it does not through a generator of one row."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def hostname(url: Column) -> Column:
     """The host of a URL without user and port; empty if it has none."""
     return F.regexp_replace(F.regexp_replace(urls.host(url), "^.*@", ""), ":[0-9]*$", "")
@@ -21,70 +30,77 @@ def registrable_domain(host: Column, long_suffixes: list[str] = K.LONG_SUFFIXES)
     return F.when(host.rlike(r"^[0-9.]+$|:") | (F.size(labels) <= n), host).otherwise(F.array_join(F.slice(labels, -n, n), "."))
 
 
-def _lower_segment(url: Column, i: int) -> Column:
-    return F.lower(F.get(urls.segments(url), F.lit(i)))
+def _lower_segment(url: Column, i: Column) -> Column:
+    return F.lower(F.get(urls.segments(url), i))
+
+
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    """A literal map keeps the expression small, however many boards there are."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+
+
+_BY_HOST = {h: provider for provider, hosts, _ in K.BOARD_HOSTS for h in hosts}
+_PREFIXES = {h: prefix for _, hosts, prefix in K.BOARD_HOSTS for h in hosts if prefix}
+_BY_SUFFIX = {suffix: provider for provider, suffix, _ in K.BOARD_SUFFIXES}
+_OWN_HOSTS = [f"{label}.{suffix}" for _, suffix, own in K.BOARD_SUFFIXES for label in own]
+
+
+def _suffix_board(host: Column) -> tuple[Column, Column]:
+    """(provider, label) by the suffix of a host, of three labels or two. The label next to it is
+    the company's, unless it is the board's own; then both are null."""
+    last = lambda n: F.substring_index(host, ".", -n)
+    by3, by2 = _lookup(_BY_SUFFIX, last(3)), _lookup(_BY_SUFFIX, last(2))
+    in3, in2 = by3.isNotNull() & (last(3) != host), by2.isNotNull() & (last(2) != host) & ~last(3).isin(_OWN_HOSTS)
+    return F.when(in3, by3).when(in2, by2), F.when(in3, F.substring_index(last(4), ".", 1)).when(in2, F.substring_index(last(3), ".", 1))
 
 
 def board(url: Column) -> Column:
     """struct(provider, by_path, slug, prefix) of a URL on a known job board, else null. The slug,
     which names the company, is empty where the URL has none."""
     host = hostname(url)
-    made = lambda provider, by_path, slug, prefix: F.struct(F.lit(provider).alias("provider"), F.lit(by_path).alias("by_path"), F.coalesce(slug, F.lit("")).alias("slug"), F.lit(prefix).alias("prefix"))
-    out = F.when(host == "", None)
-    for provider, hosts, prefix in K.BOARD_HOSTS:
-        on = host.isin(hosts)
-        if prefix:
-            on = on & F.coalesce(_lower_segment(url, 0) == prefix, F.lit(False))
-        out = out.when(on, made(provider, True, _lower_segment(url, 1 if prefix else 0), prefix))
-    for provider, suffix, own in K.BOARD_SUFFIXES:
-        # The label next to the suffix is the company's.
-        label = F.substring_index(F.left(host, F.length(host) - len(suffix) - 1), ".", -1)
-        on = F.endswith(host, F.lit("." + suffix)) & (F.length(host) > len(suffix) + 1)
-        out = out.when(on & ~label.isin(own) if own else on, made(provider, False, label, ""))
-    return out
+    by_host, prefix = _lookup(_BY_HOST, host), F.coalesce(_lookup(_PREFIXES, host), F.lit(""))
+    fits = by_host.isNotNull() & ((prefix == "") | (F.coalesce(_lower_segment(url, F.lit(0)), F.lit("")) == prefix))
+    by_suffix, label = _suffix_board(host)
+    provider = F.when(fits, by_host).when(by_host.isNull(), by_suffix)
+    slug = F.when(by_host.isNotNull(), _lower_segment(url, F.when(prefix == "", 0).otherwise(1))).otherwise(label)
+    found = F.struct(provider.alias("provider"), by_host.isNotNull().alias("by_path"), F.coalesce(slug, F.lit("")).alias("slug"), prefix.alias("prefix"))
+    return F.when(F.length(F.coalesce(provider, F.lit(""))) > 0, found)
 
 
 def provider_of_host(host: Column) -> Column:
     """The job board that a host belongs to, else null."""
-    out = F.when(host == "", None)
-    for provider, hosts, _ in K.BOARD_HOSTS:
-        out = out.when(host.isin(hosts), provider)
-    for provider, suffix, own in K.BOARD_SUFFIXES:
-        label = F.substring_index(F.left(host, F.length(host) - len(suffix) - 1), ".", -1)
-        inside = F.endswith(host, F.lit("." + suffix))
-        out = out.when((host == suffix) | ((inside & ~label.isin(own)) if own else inside), provider)
-    return out
+    return F.coalesce(_lookup(_BY_HOST, host), _lookup(_BY_SUFFIX, host), _suffix_board(host)[0])
 
 
-def identify(url: Column) -> Column:
+def identify(url: Column, b: Column | None = None) -> Column:
     """struct(company_key, provider, politeness_domain). On a board the key is provider:slug; on
     a shared domain the host; else the registrable domain."""
-    host, b = hostname(url), board(url)
+    host, b = hostname(url), board(url) if b is None else b
     owner = registrable_domain(host)
     on_board = F.coalesce(b["slug"] != "", F.lit(False))
     key = F.when(on_board, F.concat_ws(":", b["provider"], b["slug"])).when(owner.isin(K.SHARED_DOMAINS), host).otherwise(owner)
     return F.struct(key.alias("company_key"), F.when(on_board, b["provider"]).otherwise("").alias("provider"), host.alias("politeness_domain"))
 
 
-def role(url: Column) -> Column:
+def role(url: Column, b: Column | None = None) -> Column:
     """career_page, job_listing, or unknown for a URL on no known board."""
-    segs, b = urls.segments(url), board(url)
+    segs, b = urls.segments(url), board(url) if b is None else b
     n = F.size(segs) - F.when(F.coalesce(urls.is_locale_segment(F.try_element_at(segs, F.lit(-1))), F.lit(False)), 1).otherwise(0)
     root = F.when(b["by_path"], F.when(b["prefix"] != "", 2).otherwise(1)).otherwise(0)
     return F.when(b.isNull(), "unknown").when(n == root, "career_page").otherwise("job_listing")
 
 
-def career_page_url(url: Column) -> Column:
+def career_page_url(url: Column, b: Column | None = None) -> Column:
     """The root of the company's board that a URL is on, else null."""
-    b = board(url)
+    b = board(url) if b is None else b
     base = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     by_path = F.when(b["slug"] != "", F.concat_ws("/", base, F.nullif(b["prefix"], F.lit("")), b["slug"]))
     return F.when(b.isNotNull(), F.when(b["by_path"], by_path).otherwise(base))
 
 
-def stored_page_url(url: Column) -> Column:
+def stored_page_url(url: Column, b: Column | None = None) -> Column:
     """What a career page is filed under: its board's root if it is on one, as a page identity."""
-    return urls.page_url(F.coalesce(career_page_url(url), url))
+    return urls.page_url(F.coalesce(career_page_url(url, b), url))
 
 
 def is_aggregator(url: Column) -> Column:

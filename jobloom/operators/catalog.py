@@ -117,13 +117,14 @@ def doctor_plan(pages: DataFrame, companies: DataFrame) -> DataFrame:
     reduced before it is shuffled."""
     url = F.col("url")
     known = pages.join(companies.select("company_key", F.lit(True).alias("owner")), "company_key", "left")
-    kind = identity.role(url)
+    known = identity.with_once(known, b_=identity.board(url))
+    known = identity.with_once(known, kind_=identity.role(url, F.col("b_")), key_=identity.identify(url, F.col("b_"))["company_key"], final_=identity.stored_page_url(url, F.col("b_")))
+    kind = F.col("kind_")
     gone = identity.is_aggregator(url) | (kind == "job_listing") | ((kind == "unknown") & posting_path(url))
-    parsed = known.select(
-        "page_id", "url", F.when(F.col("owner"), F.col("company_key")).alias("owned_by"), F.col("company_key").alias("old_key"), (identity.hostname(url) != "").alias("is_url"),
-        F.coalesce(gone, F.lit(False)).alias("gone"), identity.identify(url)["company_key"].alias("key"), identity.stored_page_url(url).alias("final"))
-    decided = parsed.filter(~F.coalesce("is_url", F.lit(False)) | F.col("gone"))
-    decided = decided.select("page_id", F.when(F.coalesce("is_url", F.lit(False)), "delete").otherwise("keep").alias("action"), F.col("old_key").alias("company_key"), F.lit(None).cast(pages.schema["page_id"].dataType).alias("merge_into"))
+    parsed = identity.with_once(known, is_url=F.coalesce(identity.hostname(url) != "", F.lit(False)), gone=F.coalesce(gone, F.lit(False))).select(
+        "page_id", "url", F.when(F.col("owner"), F.col("company_key")).alias("owned_by"), F.col("company_key").alias("old_key"), "is_url", "gone", F.col("key_").alias("key"), F.col("final_").alias("final"))
+    decided = parsed.filter(~F.col("is_url") | F.col("gone"))
+    decided = decided.select("page_id", F.when(F.col("is_url"), "delete").otherwise("keep").alias("action"), F.col("old_key").alias("company_key"), F.lit(None).cast(pages.schema["page_id"].dataType).alias("merge_into"))
     left = parsed.filter("is_url AND NOT gone")
     owned, written = F.coalesce(F.col("owned_by") == F.col("key"), F.lit(False)), F.col("url") == F.col("final")
     rank = F.when(owned & written, 0).when(owned, 1).when(written, 2).otherwise(3)

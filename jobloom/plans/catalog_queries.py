@@ -27,8 +27,9 @@ def career_pages(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("https://"), low, F.lit(".substack.com/p/x")), F.concat(F.lit("https://de.indeed.com/jobs/"), own),
         F.concat(F.lit("https://careers."), low, F.lit(".com/en/jobs/dev-"), own), F.concat(F.lit("no url "), own)]
     pages = t(spark, d, "customer").select(k.alias("page_id"), F.element_at(F.array(*shapes), (k % 10 + 1).cast("int")).alias("url"))
-    owner = F.when(F.col("page_id") % 3 == 0, identity.identify(F.col("url"))["company_key"]).otherwise(F.concat(F.lit("other"), (F.col("page_id") % 7).cast("string")))
-    return pages.select("page_id", "url", owner.alias("company_key"))
+    pages = identity.with_once(pages, b=identity.board(F.col("url")))
+    owner = F.when(F.col("page_id") % 3 == 0, identity.identify(F.col("url"), F.col("b"))["company_key"]).otherwise(F.concat(F.lit("other"), (F.col("page_id") % 7).cast("string")))
+    return identity.with_once(pages, company_key=owner).select("page_id", "url", "company_key")
 
 
 PAGES = r"""base AS (
@@ -59,9 +60,10 @@ plan AS (
 
 @query(f"WITH {PAGES} SELECT page_id, url, key AS company_key, provider, role, final AS stored_url FROM owned")
 def company_identity(spark, d):
-    u = F.col("url")
-    who = identity.identify(u)
-    return career_pages(spark, d).select("page_id", "url", who["company_key"].alias("company_key"), who["provider"].alias("provider"), identity.role(u).alias("role"), identity.stored_page_url(u).alias("stored_url"))
+    u, b = F.col("url"), F.col("b")
+    pages = career_pages(spark, d).select("page_id", "url")
+    pages = identity.with_once(identity.with_once(pages, b=identity.board(u)), who=identity.identify(u, b))
+    return pages.select("page_id", "url", "who.company_key", "who.provider", identity.role(u, b).alias("role"), identity.stored_page_url(u, b).alias("stored_url"))
 
 
 def _companies(pages: DataFrame) -> DataFrame:
