@@ -77,3 +77,18 @@ def append_seed(definitions: DataFrame, key: str, seed: str) -> DataFrame:
     """Add a seed URL to one definition (key, seed_urls, ..) unless it has it."""
     add = (F.col("key") == key) & ~F.array_contains("seed_urls", seed)
     return definitions.withColumn("seed_urls", F.when(add, F.array_append("seed_urls", F.lit(seed))).otherwise(F.col("seed_urls")))
+
+
+def rename_searches(searches: DataFrame, names: DataFrame) -> DataFrame:
+    """Saved searches (id, name, ..) with new names from ``names`` (id, name). Ids that do not exist
+    change nothing; :func:`unknown_keys` finds them."""
+    n = names.select("id", F.col("name").alias("name_"))
+    return searches.join(n, "id", "left").withColumn("name", F.coalesce("name_", "name")).select(searches.columns)
+
+
+def start_runs(runs: DataFrame, wanted: DataFrame, now: Column) -> DataFrame:
+    """Runs (run_id, definition, status, started_at) and a running one for each definition of ``wanted``
+    (run_id, definition) that has none active; of several wanted for one the smallest run_id starts."""
+    active = runs.filter(F.col("status").isin("running", "stopping", "pausing", "paused")).select("definition")
+    one = wanted.groupBy("definition").agg(F.min("run_id").alias("run_id")).join(active, "definition", "left_anti")
+    return runs.select("run_id", "definition", "status", "started_at").unionByName(one.select("run_id", "definition", F.lit("running").alias("status"), now.alias("started_at")))
