@@ -162,13 +162,13 @@ def close_dormant(spark, d):
     return edits.close_dormant(listings, _probed(spark, d), _ts(NOW))
 
 
-@query("""SELECT o_orderkey AS canonical_url, CASE WHEN o_orderkey % 3 = 0 THEN 'new ' || o_orderkey ELSE o_clerk END AS description, CASE WHEN o_orderkey % 3 = 0 THEN 'jsonld' ELSE 'flattened' END AS description_source,
+@query("""SELECT o_orderkey AS canonical_url, CASE WHEN o_orderstatus = 'F' THEN 'new ' || o_orderkey ELSE o_clerk END AS description, CASE WHEN o_orderstatus = 'F' THEN 'jsonld' ELSE 'flattened' END AS description_source,
   CASE WHEN o_custkey % 5 = 1 THEN o_custkey - 1 ELSE o_custkey END AS career_page_id FROM (SELECT *, o_orderpriority AS o_clerk FROM orders) WHERE o_custkey % 5 <> 2""")
 def listing_edits(spark, d):
     k = F.col("o_orderkey")
     o = t(spark, d, "orders")
     listings = o.select(k.alias("canonical_url"), F.col("o_orderpriority").alias("description"), F.lit("flattened").alias("description_source"), F.col("o_custkey").alias("career_page_id"))
-    bodies = o.filter("o_orderkey % 3 = 0").select(k.alias("canonical_url"), F.concat(F.lit("new "), k.cast("string")).alias("description"), F.lit("jsonld").alias("description_source"))
+    bodies = o.filter("o_orderstatus = 'F'").select(k.alias("canonical_url"), F.concat(F.lit("new "), k.cast("string")).alias("description"), F.lit("jsonld").alias("description_source"))
     pages = t(spark, d, "customer").select(F.col("c_custkey").alias("page_id"))
     moves = pages.filter("page_id % 5 = 1").withColumn("to_page_id", F.col("page_id") - 1)
     gone = pages.filter("page_id % 5 = 2")
@@ -190,10 +190,10 @@ def frontier_pop(spark, d):
 
 
 @query("""WITH n AS (SELECT l_partkey AS url, min(l_orderkey * 10 + l_linenumber) AS seq FROM lineitem GROUP BY 1), every AS (
-  SELECT p_partkey AS url, CAST(-p_partkey AS BIGINT) AS seq FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT * FROM n WHERE url NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0))
+  SELECT p_partkey AS url, CAST(-p_partkey AS BIGINT) AS seq FROM part WHERE p_retailprice < 950 UNION ALL SELECT * FROM n WHERE url NOT IN (SELECT p_partkey FROM part WHERE p_retailprice < 950))
 SELECT * FROM every ORDER BY seq DESC, url DESC LIMIT 150""")
 def frontier_admit(spark, d):
-    seen = t(spark, d, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("url"), (-F.col("p_partkey")).cast("long").alias("seq"))
+    seen = t(spark, d, "part").filter("p_retailprice < 950").select(F.col("p_partkey").alias("url"), (-F.col("p_partkey")).cast("long").alias("seq"))
     urls = t(spark, d, "lineitem").select(F.col("l_partkey").alias("url"), F.col("l_suppkey").alias("host"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
     return frontier.admit(seen, urls, 150)[0]
 
@@ -261,11 +261,11 @@ def field_divergences(spark, d):
     return evaluate.field_divergences(want, got, ["title", "location"])
 
 
-@query("""WITH a AS (SELECT o_orderstatus AS metric, CAST(count(*) AS DOUBLE) AS v FROM orders WHERE o_orderkey % 2 = 0 AND o_orderstatus <> 'O' GROUP BY 1), b AS (SELECT o_orderstatus AS metric, CAST(count(*) AS DOUBLE) AS v FROM orders WHERE o_orderkey % 2 = 1 AND o_orderstatus <> 'P' GROUP BY 1)
+@query("""WITH a AS (SELECT o_orderstatus AS metric, CAST(count(*) AS DOUBLE) AS v FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' AND o_orderstatus <> 'O' GROUP BY 1), b AS (SELECT o_orderstatus AS metric, CAST(count(*) AS DOUBLE) AS v FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderstatus <> 'P' GROUP BY 1)
 SELECT coalesce(a.metric, b.metric) AS metric, a.v AS before, b.v AS after, round(coalesce(b.v, 0) - coalesce(a.v, 0), 4) AS delta FROM a FULL JOIN b ON a.metric = b.metric""")
 def metric_diff(spark, d):
     report = lambda cond: t(spark, d, "orders").filter(cond).groupBy(F.col("o_orderstatus").alias("metric")).agg(F.count("*").cast("double").alias("value"))
-    return evaluate.metric_diff(report("o_orderkey % 2 = 0 AND o_orderstatus <> 'O'"), report("o_orderkey % 2 = 1 AND o_orderstatus <> 'P'"))
+    return evaluate.metric_diff(report("o_orderdate < TIMESTAMP '1998-01-01' AND o_orderstatus <> 'O'"), report("o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderstatus <> 'P'"))
 
 
 @query("""SELECT user_id AS url, arg_max(event_id, (strftime(ts, '%Y-%m-%d'), event_id)) AS seq, arg_max(event_type = 'error', (strftime(ts, '%Y-%m-%d'), event_id)) AS verdict, count(*) AS n FROM events GROUP BY 1""")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobloom.functions import constants as K
 from jobloom.functions import geo, text, urls
 from jobloom.operators import evaluate, gate, search, state
 
@@ -137,9 +138,10 @@ def catalog_totals(spark, d):
 # --- joins ----------------------------------------------------------------------------------
 
 
-@query("SELECT o_orderkey, c_name, o_orderdate FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 11 < 5 ORDER BY o_orderdate DESC, o_orderkey")
+@query("SELECT o_orderkey, c_name, o_orderdate FROM orders JOIN customer ON o_custkey = c_custkey WHERE CAST(left(o_orderpriority, 1) AS INT) < 5 ORDER BY o_orderdate DESC, o_orderkey")
 def collection_seeds(spark, d):
-    o = t(spark, d, "orders").filter("o_orderkey % 11 < 5")
+    failures = F.left("o_orderpriority", F.lit(1)).cast("int")
+    o = t(spark, d, "orders").filter(failures < K.DORMANCY_THRESHOLD)
     c = t(spark, d, "customer").select("c_custkey", "c_name")
     return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey")
 
@@ -208,10 +210,10 @@ def _ts(s: str) -> Column:
 
 
 @query(f"""WITH o AS (SELECT l_orderkey || '-' || l_linenumber AS u, 'old ' || l_partkey AS title, l_shipmode_ AS source, l_suppkey AS depth, l_shipdate AS seen FROM (
-    SELECT *, CASE WHEN l_suppkey % 2 = 0 THEN 'ats' ELSE 'crawl' END AS l_shipmode_ FROM lineitem) WHERE l_orderkey % 3 <> 0),
-n AS (SELECT l_orderkey || '-' || l_linenumber AS u, 'new ' || l_partkey AS title, CASE WHEN l_suppkey % 2 = 0 THEN 'ats' ELSE 'crawl' END AS source, l_suppkey AS depth FROM lineitem WHERE l_orderkey % 3 <> 1
+    SELECT *, CASE WHEN l_suppkey % 2 = 0 THEN 'ats' ELSE 'crawl' END AS l_shipmode_ FROM lineitem) WHERE l_returnflag <> 'A'),
+n AS (SELECT l_orderkey || '-' || l_linenumber AS u, 'new ' || l_partkey AS title, CASE WHEN l_suppkey % 2 = 0 THEN 'ats' ELSE 'crawl' END AS source, l_suppkey AS depth FROM lineitem WHERE l_returnflag <> 'R'
   QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC) = 1),
-old AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY u ORDER BY title, depth) = 1)
+old AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY u ORDER BY title, depth, seen) = 1)
 SELECT coalesce(old.u, n.u) AS canonical_url, coalesce(n.title, old.title) AS title, CASE WHEN old.u IS NOT NULL THEN old.depth WHEN n.source = 'crawl' THEN n.depth END AS discovered_depth,
   coalesce(seen, TIMESTAMP '{NOW}') AS first_seen, CASE WHEN n.u IS NOT NULL THEN TIMESTAMP '{NOW}' ELSE seen END AS last_seen
 FROM old FULL JOIN n ON old.u = n.u""")
@@ -221,14 +223,14 @@ def corpus_upsert(spark, d):
     source = F.when(F.col("l_suppkey") % 2 == 0, "ats").otherwise("crawl").alias("source")
     title = lambda p: F.concat(F.lit(p), F.col("l_partkey").cast("string")).alias("title")
     depth = F.col("l_suppkey").alias("discovered_depth")
-    old = li.filter("l_orderkey % 3 <> 0").select(key, title("old "), F.lit("").alias("description"), source, depth, F.col("l_shipdate").alias("first_seen"), F.col("l_shipdate").alias("last_seen"), F.lit(None).cast("timestamp").alias("closed_at"), F.lit(0).alias("inconclusive_streak"))
-    old = state.latest(old, ["canonical_url"], F.col("title"), F.col("discovered_depth"))
-    new = li.filter("l_orderkey % 3 <> 1").select(key, title("new "), F.lit("").alias("description"), source, depth, F.struct("l_partkey", "l_suppkey").alias("seq"))
+    old = li.filter("l_returnflag <> 'A'").select(key, title("old "), F.lit("").alias("description"), source, depth, F.col("l_shipdate").alias("first_seen"), F.col("l_shipdate").alias("last_seen"), F.lit(None).cast("timestamp").alias("closed_at"), F.lit(0).alias("inconclusive_streak"))
+    old = state.latest(old, ["canonical_url"], F.col("title"), F.col("discovered_depth"), F.col("first_seen"))
+    new = li.filter("l_returnflag <> 'R'").select(key, title("new "), F.lit("").alias("description"), source, depth, F.struct("l_partkey", "l_suppkey").alias("seq"))
     return state.upsert_listings(old, new, _ts(NOW)).select("canonical_url", "title", "discovered_depth", "first_seen", "last_seen")
 
 
-@query("""WITH o AS (SELECT c_custkey, c_name, TIMESTAMP '2024-01-10' AS fs, TIMESTAMP '2024-03-01' AS ls, 'meta' AS src FROM customer WHERE c_custkey % 4 <> 0),
-f AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN 'Renamed ' || c_custkey ELSE c_name END AS name, TIMESTAMP '2024-01-01' + to_days(CAST(c_custkey % 40 AS INT)) AS fs, TIMESTAMP '2024-02-01' + to_days(CAST(c_custkey % 90 - 45 AS INT)) AS ls FROM customer WHERE c_custkey % 4 <> 1)
+@query("""WITH o AS (SELECT c_custkey, c_name, TIMESTAMP '2024-01-10' AS fs, TIMESTAMP '2024-03-01' AS ls, 'meta' AS src FROM customer WHERE c_mktsegment <> 'BUILDING'),
+f AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN 'Renamed ' || c_custkey ELSE c_name END AS name, TIMESTAMP '2024-01-01' + to_days(CAST(c_custkey % 40 AS INT)) AS fs, TIMESTAMP '2024-02-01' + to_days(CAST(c_custkey % 90 - 45 AS INT)) AS ls FROM customer WHERE c_mktsegment <> 'MACHINERY')
 SELECT coalesce(o.c_custkey, f.c_custkey) AS company_key, coalesce(f.name, c_name) AS name,
   CASE WHEN o.c_custkey IS NOT NULL AND f.c_custkey IS NOT NULL AND f.name IS NOT NULL AND f.name IS DISTINCT FROM c_name THEN NULL ELSE src END AS name_source,
   CASE WHEN f.c_custkey IS NULL THEN o.fs WHEN o.c_custkey IS NULL THEN least(f.fs, f.ls) ELSE least(f.fs, o.fs) END AS first_seen, greatest(o.ls, f.ls) AS last_seen
@@ -238,9 +240,9 @@ def merge_import(spark, d):
     k = F.col("c_custkey")
     plus = lambda s, n: _ts(s) + F.make_interval(days=n.cast("int"))
     none = F.lit(None).cast("string")
-    old = c.filter("c_custkey % 4 <> 0").select(k.alias("company_key"), F.col("c_name").alias("name"), none.alias("website"), F.lit("meta").alias("name_source"), _ts("2024-01-10").alias("first_seen"), _ts("2024-03-01").alias("last_seen"))
+    old = c.filter("c_mktsegment <> 'BUILDING'").select(k.alias("company_key"), F.col("c_name").alias("name"), none.alias("website"), F.lit("meta").alias("name_source"), _ts("2024-01-10").alias("first_seen"), _ts("2024-03-01").alias("last_seen"))
     name = F.when(k % 5 == 0, none).when(k % 3 == 0, F.concat(F.lit("Renamed "), k.cast("string"))).otherwise(F.col("c_name"))
-    file = c.filter("c_custkey % 4 <> 1").select(k.alias("company_key"), name.alias("name"), none.alias("website"), plus("2024-01-01", k % 40).alias("first_seen"), plus("2024-02-01", k % 90 - 45).alias("last_seen"))
+    file = c.filter("c_mktsegment <> 'MACHINERY'").select(k.alias("company_key"), name.alias("name"), none.alias("website"), plus("2024-01-01", k % 40).alias("first_seen"), plus("2024-02-01", k % 90 - 45).alias("last_seen"))
     return state.merge_companies(old, file).drop("website")
 
 
@@ -276,10 +278,10 @@ def dormancy_fold(spark, d):
     return state.fold_dormancy(probes(spark, d))
 
 
-@query("SELECT p_partkey AS key, CASE WHEN p_partkey % 2 = 1 THEN 'created' WHEN p_size % 4 = 0 THEN 'conflict' ELSE 'replay' END AS verdict FROM part")
+@query("SELECT p_partkey AS key, CASE WHEN p_retailprice >= 950 THEN 'created' WHEN p_size % 4 = 0 THEN 'conflict' ELSE 'replay' END AS verdict FROM part")
 def insert_or_arbitrate(spark, d):
     p = t(spark, d, "part")
-    known = p.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("fingerprint"))
+    known = p.filter("p_retailprice < 950").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("fingerprint"))
     sent = p.select(F.col("p_partkey").alias("key"), F.when(F.col("p_size") % 4 == 0, F.lit("other")).otherwise(F.col("p_brand")).alias("fingerprint"))
     return state.insert_or_arbitrate(known, sent)
 
@@ -348,25 +350,25 @@ def cap_corrected_prefix(spark, d):
     return evaluate.corrected_prefix(t(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id", F.col("event_type") != "error").select("user_id", "event_id")
 
 
-@query("""WITH o AS (SELECT doc_id AS url, lang AS rung FROM documents WHERE doc_id % 3 <> 0), l AS (
-  SELECT doc_id AS url, CASE WHEN doc_id % 5 = 0 THEN 'xx' ELSE lang END AS rung, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'why' END AS reason FROM documents WHERE doc_id % 2 = 0
-  UNION ALL SELECT doc_id, lang, 'again' FROM documents WHERE doc_id % 8 = 0),
+@query("""WITH o AS (SELECT doc_id AS url, lang AS rung FROM documents WHERE lang <> 'de'), l AS (
+  SELECT doc_id AS url, CASE WHEN doc_id % 5 = 0 THEN 'xx' ELSE lang END AS rung, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'why' END AS reason FROM documents WHERE lang <> 'fr'
+  UNION ALL SELECT doc_id, lang, 'again' FROM documents WHERE source = 'src1'),
 g AS (SELECT url, count(*) AS n, max(rung) AS lr, max(reason) AS reason FROM l GROUP BY 1)
 SELECT coalesce(o.url, g.url) AS url, CASE WHEN n IS NULL THEN 'unrecorded' WHEN o.url IS NULL THEN 'recovered' WHEN n > 1 THEN 'duplicated' WHEN rung <> lr THEN 'misattributed' WHEN coalesce(reason, '') = '' THEN 'unargued' ELSE 'standing' END AS finding
 FROM o FULL JOIN g ON o.url = g.url""")
 def ledger_audit(spark, d):
-    doc = t(spark, d, "documents").select(F.col("doc_id").alias("url"), F.col("lang").alias("rung"))
+    doc = t(spark, d, "documents").select(F.col("doc_id").alias("url"), F.col("lang").alias("rung"), "source")
     u = F.col("url")
-    first = doc.filter("url % 2 = 0").select("url", F.when(u % 5 == 0, "xx").otherwise(F.col("rung")).alias("rung"), F.when(u % 7 == 0, "").otherwise("why").alias("reason"))
-    again = doc.filter("url % 8 = 0").select("url", "rung", F.lit("again").alias("reason"))
-    return evaluate.ledger_audit(doc.filter("url % 3 <> 0"), first.unionByName(again))
+    first = doc.filter("rung <> 'fr'").select("url", F.when(u % 5 == 0, "xx").otherwise(F.col("rung")).alias("rung"), F.when(u % 7 == 0, "").otherwise("why").alias("reason"))
+    again = doc.filter("source = 'src1'").select("url", "rung", F.lit("again").alias("reason"))
+    return evaluate.ledger_audit(doc.filter("rung <> 'de'").drop("source"), first.unionByName(again))
 
 
-@query("""SELECT 'a' AS side, doc_id, lang FROM documents a WHERE doc_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM documents b WHERE b.doc_id % 3 = 0 AND b.doc_id = a.doc_id)
-UNION ALL SELECT 'b', doc_id, lang FROM documents a WHERE doc_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM documents b WHERE b.doc_id % 2 = 0 AND b.doc_id = a.doc_id)""")
+@query("""SELECT 'a' AS side, doc_id, lang FROM documents a WHERE lang <> 'de' AND NOT EXISTS (SELECT 1 FROM documents b WHERE b.lang <> 'fr' AND b.doc_id = a.doc_id)
+UNION ALL SELECT 'b', doc_id, lang FROM documents a WHERE lang <> 'fr' AND NOT EXISTS (SELECT 1 FROM documents b WHERE b.lang <> 'de' AND b.doc_id = a.doc_id)""")
 def violation_diff(spark, d):
     doc = t(spark, d, "documents").select("doc_id", "lang")
-    a, b = doc.filter("doc_id % 2 = 0"), doc.filter("doc_id % 3 = 0")
+    a, b = doc.filter("lang <> 'de'"), doc.filter("lang <> 'fr'")
     only = lambda x, y, s: x.join(y, ["doc_id", "lang"], "left_anti").select(F.lit(s).alias("side"), "doc_id", "lang")
     return only(a, b, "a").unionByName(only(b, a, "b"))
 
@@ -433,10 +435,10 @@ def url_filter(spark, d):
     return t(spark, d, "pages").select("page_id", ok.alias("accepted"))
 
 
-@query(r"""SELECT doc_id, translate(replace(replace(lower(left(text, 40)), 'ß', 'ss'), 'æ', 'ae'), 'äàáâãåçéèêëíìîïñöòóôõøüùúû', 'aaaaaaceeeeiiiinoooooouuuu') AS folded, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS n_tokens, sha256(left(text, 8000)) AS source_hash FROM documents""")
+@query(r"""SELECT doc_id, sha256(translate(replace(replace(lower(text), 'ß', 'ss'), 'æ', 'ae'), 'äàáâãåçéèêëíìîïñöòóôõøüùúû', 'aaaaaaceeeeiiiinoooooouuuu')) AS folded_hash, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS n_tokens, sha256(left(text, 8000)) AS source_hash FROM documents""")
 def text_scalars(spark, d):
     x = F.col("text")
-    return t(spark, d, "documents").select("doc_id", text.fold(F.left(x, F.lit(40))).alias("folded"), F.size(text.tokens(x)).cast("long").alias("n_tokens"), text.source_hash(x).alias("source_hash"))
+    return t(spark, d, "documents").select("doc_id", F.sha2(text.fold(x), 256).alias("folded_hash"), F.size(text.tokens(x)).cast("long").alias("n_tokens"), text.source_hash(x).alias("source_hash"))
 
 
 def _values(rows: list[tuple]) -> str:
