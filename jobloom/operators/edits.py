@@ -92,3 +92,68 @@ def start_runs(runs: DataFrame, wanted: DataFrame, now: Column) -> DataFrame:
     active = runs.filter(F.col("status").isin("running", "stopping", "pausing", "paused")).select("definition")
     one = wanted.groupBy("definition").agg(F.min("run_id").alias("run_id")).join(active, "definition", "left_anti")
     return runs.select("run_id", "definition", "status", "started_at").unionByName(one.select("run_id", "definition", F.lit("running").alias("status"), now.alias("started_at")))
+
+
+def create_rows(rows: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    """Saved searches or definitions with new ones added. Those whose key is taken change nothing; of
+    several new ones with one key the first by all columns is added."""
+    one = new.groupBy(key).agg(F.min(F.struct(*[c for c in rows.columns if c != key])).alias("new_"))
+    fresh = one.join(rows.select(key), key, "left_anti").select(key, "new_.*")
+    return rows.unionByName(fresh)
+
+
+def delete_rows(rows: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
+    """Saved searches or definitions without those of ``gone``; keys that do not exist do no harm."""
+    return rows.join(gone.select(key), key, "left_anti").select(rows.columns)
+
+
+def create_definitions(definitions: DataFrame, new: DataFrame) -> DataFrame:
+    """Definitions (id, kind, seed_urls, created_at, ..) with ``new``; absent seeds become an empty list. There is
+    at most one of kind ``discovery``: of several the first by creation and id, and none if one exists."""
+    rest = new.withColumn("seed_urls", F.coalesce("seed_urls", F.array().cast("array<string>")))
+    discovery = F.col("kind") == "discovery"
+    first = rest.filter(discovery).orderBy("created_at", "id").limit(1)
+    taken = definitions.filter(discovery).limit(1).select("kind")
+    return create_rows(definitions, rest.filter(~F.coalesce(discovery, F.lit(False))).unionByName(first.join(taken, "kind", "left_anti").select(rest.columns)))
+
+
+#: Who labelled a row, and who confirmed it; empty strings where nobody has.
+LABEL_COLUMNS = ["label", "proposed_label", "proposed_by", "proposed_at", "confirmed_by", "confirmed_at", "note"]
+
+
+def apply_labels(rows: DataFrame, sheet: DataFrame, proposals: DataFrame, confirm: DataFrame, proposed_by: str = "", confirmed_by: str = "", stamp: str = "") -> DataFrame:
+    """Gold rows (url, the ``LABEL_COLUMNS``, ..) after a human's sheet (url, label, note, proposed_by,
+    confirmed_by) and then a model's proposals (url, label, note). ``confirm`` (url) lists the rows that
+    ``confirmed_by`` signs.
+
+    A new label takes back the confirmation of the old one. The first proposed label stays, also when a human overrides
+    it; a row that came in confirmed never gets one. Nulls count as empty strings. URLs that are not
+    among the rows change nothing; :func:`unknown_keys` finds them."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    s = sheet.select("url", F.struct(*[text(c).alias(c) for c in ("label", "note", "proposed_by", "confirmed_by")]).alias("sheet_"))
+    p = proposals.select("url", F.struct(*[text(c).alias(c) for c in ("label", "note")]).alias("model_"))
+    c = confirm.select("url", F.lit(True).alias("signs_")).distinct()
+    out = rows.select(*[x for x in rows.columns if x not in LABEL_COLUMNS], *[text(x).alias(x) for x in LABEL_COLUMNS]).withColumn("was_confirmed_", text("confirmed_by") != "")
+    out = out.join(s, "url", "left").join(p, "url", "left").join(c, "url", "left")
+    open_to_proposal = (text("proposed_label") == "") & ~F.col("was_confirmed_") & (text("proposed_by") != "") & (text("label") != "")
+    out = out.withColumn("proposed_label", F.when(open_to_proposal, F.col("label")).otherwise(F.col("proposed_label")))
+    for change in ("sheet_", "model_"):
+        told = F.col(change).isNotNull()
+        label, note = F.col(change + ".label"), F.col(change + ".note")
+        overturned = told & (F.col("confirmed_by") != "") & (F.col("label") != label)
+        out = out.withColumns({
+            "confirmed_by": F.when(overturned, "").otherwise(F.col("confirmed_by")), "confirmed_at": F.when(overturned, "").otherwise(F.col("confirmed_at")),
+            "label": F.when(told, label).otherwise(F.col("label")), "note": F.when(told & (note != ""), note).otherwise(F.col("note"))})
+        if change == "sheet_":
+            signed = told & (F.col("sheet_.confirmed_by") != "") & (F.col("confirmed_by") == "")
+            out = out.withColumns({
+                "proposed_by": F.when(told & (F.col("sheet_.proposed_by") != ""), F.col("sheet_.proposed_by")).otherwise(F.col("proposed_by")),
+                "confirmed_by": F.when(signed, F.col("sheet_.confirmed_by")).otherwise(F.col("confirmed_by")), "confirmed_at": F.when(signed, F.lit(stamp)).otherwise(F.col("confirmed_at"))})
+    labelled = F.col("label") != ""
+    proposes = labelled & F.lit(proposed_by != "") & (F.col("proposed_by") == "")
+    out = out.withColumns({"proposed_by": F.when(proposes, F.lit(proposed_by)).otherwise(F.col("proposed_by")), "proposed_at": F.when(proposes, F.lit(stamp)).otherwise(F.col("proposed_at"))})
+    still_open = labelled & (F.col("proposed_label") == "") & (F.col("confirmed_by") == "") & ~F.col("was_confirmed_") & (F.col("proposed_by") != "")
+    signs = labelled & F.lit(confirmed_by != "") & (F.col("confirmed_by") == "") & F.coalesce("signs_", F.lit(False))
+    out = out.withColumn("proposed_label", F.when(still_open, F.col("label")).otherwise(F.col("proposed_label")))
+    out = out.withColumns({"confirmed_at": F.when(signs, F.lit(stamp)).otherwise(F.col("confirmed_at")), "confirmed_by": F.when(signs, F.lit(confirmed_by)).otherwise(F.col("confirmed_by"))})
+    return out.select(rows.columns)

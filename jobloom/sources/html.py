@@ -149,3 +149,74 @@ def stratum(scan: dict) -> str:
     if not scan["postings"]:
         return "none"
     return "lone" if scan["postings"] == 1 and not scan["in_list"] and scan["title"] else "ambiguous"
+
+
+def _is_organization(node: dict) -> bool:
+    kinds = node.get("@type")
+    return any(isinstance(k, str) and "organization" in k.lower() for k in (kinds if isinstance(kinds, list) else [kinds]))
+
+
+def _named_values(block, key: str):
+    """Values under ``key``, graphs first, in the order of the block's lists."""
+    for node in block if isinstance(block, list) else [block]:
+        if isinstance(node, list):
+            yield from _named_values(node, key)
+        elif isinstance(node, dict):
+            if "@graph" in node:
+                yield from _named_values(node["@graph"], key)
+            if key == "@type" and _is_organization(node):
+                yield node
+            elif key in node and key != "@type":
+                yield node[key]
+
+
+def _own_name(x) -> str:
+    """The text, or an organization's name, or the first of a list of these."""
+    if isinstance(x, list):
+        return next((n for n in map(_own_name, x) if n), "")
+    x = x.get("name") if isinstance(x, dict) else x
+    return x.strip() if isinstance(x, str) else ""
+
+
+def _own_host(node) -> str:
+    from urllib.parse import urlsplit
+
+    if not isinstance(node, dict):
+        return next((h for h in map(_own_host, node) if h), "") if isinstance(node, list) else ""
+    if not _is_organization(node):
+        return ""
+    for key in ("url", "sameAs"):
+        for value in node[key] if isinstance(node.get(key), list) else [node.get(key)]:
+            try:
+                host = urlsplit(value).hostname if isinstance(value, str) else None
+            except ValueError:
+                continue
+            if host:
+                return host
+    return ""
+
+
+def organization(blocks: list[str] | None) -> dict:
+    """Name and host of the company in JSON-LD: who hires, before any other organization."""
+    parsed = []
+    for b in blocks or []:
+        try:
+            parsed.append(json.loads(b))
+        except (ValueError, RecursionError):
+            continue
+    found = [list(_named_values(b, key)) for key in ("hiringOrganization", "@type") for b in parsed]
+    values = [v for vs in found for v in vs]
+    return {"name": next((n for n in map(_own_name, values) if n), ""), "host": next((h for h in map(_own_host, values) if h), "")}
+
+
+def organizations(pages: DataFrame) -> DataFrame:
+    """(page_id, organization, organization_host) of parsed pages (page_id, jsonld)."""
+
+    def found(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [organization(b) for b in batch.column("jsonld").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([r["name"] for r in rows], pa.string()), pa.array([r["host"] for r in rows], pa.string())], names=["page_id", "organization", "organization_host"])
+
+    return pages.select("page_id", "jsonld").mapInArrow(found, "page_id long, organization string, organization_host string")
