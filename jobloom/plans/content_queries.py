@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from jobloom.functions import names, rendering
 from jobloom.operators import edits
 from jobloom.plans.registered import query, t
+from jobloom.sources import html, page_rendering
 
 
 @query("""WITH c AS (SELECT c_custkey AS k, c_name AS n, c_nationkey % 8 AS shape FROM customer)
@@ -87,3 +88,28 @@ def label_edits(spark, d):
     new = F.when(F.col("c_mktsegment") == "BUILDING", "OTHER").otherwise(F.col("c_mktsegment"))
     sheet = c.filter("c_acctbal > 0").select(url, new.alias("label"), none.alias("note"), none.alias("proposed_by"), F.lit("eve").alias("confirmed_by"))
     return edits.apply_labels(rows, sheet, sheet.filter("false"), sheet.filter("false").select("url"), "bot", "", "9")
+
+
+@query()
+def page_renderings(spark, d):
+    r = page_rendering.render_pages(t(spark, d, "pages"))
+    flat = rendering.flattened_text(F.col("rendering"))
+    return r.select("page_id", F.sha2("rendering", 256).alias("rendering_hash"), F.sha2(flat, 256).alias("flattened_hash"), rendering.words(flat).alias("words"))
+
+
+#: Structured data of a page made from a customer's columns: one posting, a list of postings, two, or none; who hires.
+_BLOCKS = {
+    "AUTOMOBILE": '{"@type":"JobPosting","title":"t","hiringOrganization":{"@type":"Organization","name":"~","url":"https://www.~.org/x"}}',
+    "BUILDING": '{"@type":"ItemList","itemListElement":[{"item":{"@type":"JobPosting","title":"t"}}]}',
+    "FURNITURE": '[{"@type":"JobPosting"},{"@type":"jobposting"}]',
+    "HOUSEHOLD": '{"@graph":[{"@type":"LocalOrganization","name":" ~ ","sameAs":["","https://~.com"]}]}',
+}
+
+
+@query("""SELECT c_custkey AS page_id, c_mktsegment IN ('BUILDING', 'FURNITURE') AS openings_index, CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'HOUSEHOLD') THEN 'k' || c_custkey ELSE '' END AS organization,
+  CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'www.k' || c_custkey || '.org' WHEN 'HOUSEHOLD' THEN 'k' || c_custkey || '.com' ELSE '' END AS organization_host FROM customer""")
+def structured_data(spark, d):
+    blocks = F.create_map(*[F.lit(x) for pair in _BLOCKS.items() for x in pair])
+    block = F.replace(F.try_element_at(blocks, F.col("c_mktsegment")), F.lit("~"), F.concat(F.lit("k"), F.col("c_custkey").cast("string")))
+    pages = t(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("page_id"), F.array_compact(F.array(block, F.lit("{bad"))).alias("jsonld"))
+    return html.openings_indexes(pages).join(html.organizations(pages), "page_id")

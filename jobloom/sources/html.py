@@ -5,6 +5,7 @@ HTML and JSON-LD are recursive, so they are parsed in Python, in Arrow batches."
 from __future__ import annotations
 
 import json
+import re
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 CONTENT = "title string, main_content string, urls array<string>, jsonld array<string>, site_name string, embeds array<struct<src:string,is_frame:boolean>>, element_ids array<string>"
 _SKIP = {"script", "style", "noscript", "svg", "template"}
 _CHROME = {"nav", "header", "footer", "aside"}
+_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -24,6 +26,7 @@ class _Reader(HTMLParser):
         self.titles, self.h1, self.text = [], [], []
         self.urls, self.jsonld, self.embeds, self.ids, self.site = [], [], [], [], ""
         self.ld: list[str] | None = None
+        self.read: set[str] = set()  # of title and h1 the first counts
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in reversed(attrs)}
@@ -47,6 +50,7 @@ class _Reader(HTMLParser):
             self.ld = None
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
+                self.read |= {tag} - ({"title"} if any(t == "svg" for t, _ in self.open) else set())
                 del self.open[i:]
                 break
 
@@ -55,27 +59,34 @@ class _Reader(HTMLParser):
             self.ld.append(data)
         tags = [t for t, _ in self.open]
         if "title" in tags and "svg" not in tags:
-            self.titles.append(data)
+            self.titles += [] if "title" in self.read else [data]
         elif not _SKIP.intersection(tags):
-            if "h1" in tags:
+            if "h1" in tags and "h1" not in self.read:
                 self.h1.append(data)
             self.text.append((data, {r for _, r in self.open if r}, bool(_CHROME.intersection(tags))))
 
 
+def one_line(parts: list[str]) -> str:
+    """Texts as the page runs them together, with white space collapsed."""
+    return _SPACE.sub(" ", "".join(parts)).strip(" ")
+
+
+def main_region(parts: list[tuple]) -> list:
+    """Those items of (item, regions, in chrome) that stand in a page's main region: its first kind there
+    is, else the page without its chrome, else all of it."""
+    for region in ("main", "role", "content", "article"):
+        if any(region in regions for _, regions, _ in parts):
+            return [x for x, regions, _ in parts if region in regions]
+    return [x for x, _, chrome in parts if not chrome]
+
+
 def parse_page(html: str | None) -> dict:
     """The content of a page; empty for null."""
     r = _Reader()
     r.feed(html or "")
     r.close()
-    words = lambda parts: " ".join(" ".join(parts).split())
-    main = ""
-    for region in ("main", "role", "content", "article"):
-        if any(region in regions for _, regions, _ in r.text):
-            main = words(t for t, regions, _ in r.text if region in regions)
-            break
-    else:
-        main = words(t for t, _, chrome in r.text if not chrome) or words(t for t, _, _ in r.text)
-    return {"title": words(r.titles) or words(r.h1), "main_content": main, "urls": r.urls, "jsonld": r.jsonld, "site_name": r.site, "embeds": r.embeds, "element_ids": r.ids}
+    main = one_line(main_region(r.text)) or one_line([t for t, _, _ in r.text])
+    return {"title": one_line(r.titles) or one_line(r.h1), "main_content": main, "urls": r.urls, "jsonld": r.jsonld, "site_name": r.site, "embeds": r.embeds, "element_ids": r.ids}
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
@@ -144,6 +155,11 @@ def scan_jsonld(blocks: list[str]) -> dict:
     }
 
 
+def has_openings_index(scan: dict) -> bool:
+    """Whether structured data holds a list of postings or several postings, as an index of openings does."""
+    return scan["in_list"] or scan["postings"] > 1
+
+
 def stratum(scan: dict) -> str:
     """none, lone (one posting with a title, outside lists) or ambiguous."""
     if not scan["postings"]:
@@ -209,6 +225,19 @@ def organization(blocks: list[str] | None) -> dict:
     return {"name": next((n for n in map(_own_name, values) if n), ""), "host": next((h for h in map(_own_host, values) if h), "")}
 
 
+def openings_indexes(pages: DataFrame) -> DataFrame:
+    """(page_id, openings_index) of parsed pages (page_id, jsonld)."""
+
+    def found(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            marks = [has_openings_index(scan_jsonld(b)) for b in batch.column("jsonld").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(marks, pa.bool_())], names=["page_id", "openings_index"])
+
+    return pages.select("page_id", "jsonld").mapInArrow(found, "page_id long, openings_index boolean")
+
+
 def organizations(pages: DataFrame) -> DataFrame:
     """(page_id, organization, organization_host) of parsed pages (page_id, jsonld)."""
 
