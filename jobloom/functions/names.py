@@ -47,7 +47,7 @@ def _company_part(s: Column) -> Column:
     """The first part, between separators, that is not boilerplate; the whole if all are."""
     name, out = s["name"], None
     for separator, pattern in zip(K.NAME_SEPARATORS, _SEPARATOR_PATTERNS, strict=True):
-        parts = F.filter(F.transform(F.split(name, pattern), F.trim), lambda p: ~only_boilerplate(p))
+        parts = F.filter(F.transform(F.split(name, pattern), lambda p: F.trim(p)), lambda p: ~only_boilerplate(p))
         hit = (F.contains(name, F.lit(separator)), _is(F.coalesce(F.get(parts, F.lit(0)), name), True))
         out = F.when(*hit) if out is None else out.when(*hit)
     return out.otherwise(s)

@@ -8,7 +8,7 @@ from jobloom.sources.html import organization
 TITLES = {
     "Jobs at Acme": "Acme", "Careers - PostHog": "PostHog", "PostHog | Careers": "PostHog", "Acme Careers": "Acme", "Join Acme": "Acme", "Acme": None, "Careers": None,
     "Offene Stellen": None, "Die neuesten Angebote": None, "Jobs bei der\n Commerzbank": "Commerzbank", "Acme Jobs Careers": "Acme", "Open Positions | Careers": "Open Positions |", "": None, None: None,
-    "Work at us at The Guardian": "The Guardian", "Acme Careers Jobs": "Acme Careers", "Careers — Team · Acme": "Team · Acme", "Acme :: jobs": "Acme",
+    "Work at us at The Guardian": "The Guardian", "Acme Careers Jobs": "Acme Careers", "Careers — Team · Acme": "Team · Acme", "Acme :: jobs": "Acme", "Team 100 | Careers": "Team 100", "Careers - 0x0": "0x0",
 }
 
 
