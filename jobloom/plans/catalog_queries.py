@@ -128,15 +128,15 @@ def import_resolve(spark, d):
 # --- edits ----------------------------------------------------------------------------------
 
 
-@query(f"""WITH l AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS c, o_orderkey % 3 AS s, [NULL, 'alive', 'dead', 'inconclusive'][CAST(o_orderkey % 4 AS INT) + 1] AS o, o_orderdate AS seen FROM orders)
+@query(f"""WITH l AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS c, o_orderkey % 3 AS s, ['alive', 'dead', 'inconclusive', 'inconclusive', NULL][CAST(left(o_orderpriority, 1) AS INT)] AS o, o_orderdate AS seen FROM orders)
 SELECT k AS canonical_url, CASE WHEN o = 'inconclusive' THEN s + 1 WHEN o IS NULL THEN s ELSE 0 END AS inconclusive_streak, CASE WHEN o = 'alive' THEN TIMESTAMP '{NOW}' ELSE seen END AS last_seen,
   CASE WHEN o IS NULL THEN c WHEN o = 'alive' THEN NULL WHEN o = 'dead' OR s + 1 >= 3 THEN coalesce(c, TIMESTAMP '{NOW}') ELSE c END AS closed_at FROM l""")
 def apply_probes(spark, d):
     k = F.col("o_orderkey")
     o = t(spark, d, "orders")
     listings = o.select(k.alias("canonical_url"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("closed_at"), (k % 3).alias("inconclusive_streak"), F.col("o_orderdate").alias("last_seen"))
-    outcome = F.element_at(F.array(F.lit("none"), F.lit("alive"), F.lit("dead"), F.lit("inconclusive")), (k % 4 + 1).cast("int"))
-    return edits.apply_probes(listings, o.filter("o_orderkey % 4 <> 0").select(k.alias("canonical_url"), outcome.alias("outcome")), _ts(NOW))
+    outcome = F.element_at(F.array(*map(F.lit, ["alive", "dead", "inconclusive", "inconclusive", "none"])), F.left("o_orderpriority", F.lit(1)).cast("int"))
+    return edits.apply_probes(listings, o.filter("o_orderpriority <> '5-LOW'").select(k.alias("canonical_url"), outcome.alias("outcome")), _ts(NOW))
 
 
 def _probed(spark, d):
