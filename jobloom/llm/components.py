@@ -3,8 +3,10 @@
 Each round points every node to its least neighbour and replaces nodes by what they
 point to. The order is that of a hash, so that a chain of links shrinks by a constant
 factor in each round, whatever its direction. A node at the centre of many links is
-handled by map-side minima and joins that Spark can split, never by gathering its neighbours.
-Each round is written, so a lost executor costs no more than the tasks it ran.
+handled by map-side minima, and by joins that deal its links over salts
+(:func:`jobloom.llm.tables.hot_join`), never by gathering its neighbours. Each round is
+written, so a lost executor costs no more than the tasks it ran; tables that are no longer
+needed are deleted.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.tables import discard, fresh_path
+from jobloom.llm.tables import discard, fresh_path, hot_join
 
 #: With so many links left or fewer, one bounded task joins up what remains.
 LAST_LINKS = 50_000
@@ -51,22 +53,27 @@ def components(links: DataFrame, last_links: int = LAST_LINKS) -> DataFrame:
     without links there are no rows."""
     spark = links.sparkSession
     edges, path = _save(links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    steps: list[DataFrame] = []
+    steps: list[tuple[DataFrame, str]] = []
     while edges.count() > last_links:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
         to = both.groupBy("a").agg(F.min(rank("b")).alias("least")).select(F.col("a").alias("node"), F.least(rank("a"), "least")["v"].alias("to"))
-        to, _ = _save(to, "pointers")
-        steps.append(to)
-        left = edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("a_to")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("b_to")), "b")
+        steps.append(_save(to, "pointers"))
+        to = steps[-1][0]
+        left, half = _save(hot_join(edges, to.select(F.col("node").alias("a"), F.col("to").alias("a_to")), ["a"], ["b"], "inner"), "half-moved")
+        left = hot_join(left, to.select(F.col("node").alias("b"), F.col("to").alias("b_to")), ["b"], ["a"], "inner")
         left = left.filter("a_to != b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct()
         was = path
         edges, path = _save(left, "links")
         discard(spark, was)
-    roots = edges.coalesce(1).mapInArrow(_join_up, "node long, root long")
-    roots, _ = _save(roots, "roots")
-    for to in reversed(steps):
+        discard(spark, half)
+    roots, at = _save(edges.coalesce(1).mapInArrow(_join_up, "node long, root long"), "roots")
+    discard(spark, path)
+    for to, pointers in reversed(steps):
         # Nodes that still had links have a root; the others point to it, or are it.
-        found = to.join(roots.select(F.col("node").alias("to"), "root"), "to", "left").select("node", F.coalesce("root", "to").alias("root"))
-        roots, _ = _save(found, "roots")
+        found = hot_join(to, roots.select(F.col("node").alias("to"), "root"), ["to"], ["node"]).select("node", F.coalesce("root", "to").alias("root"))
+        was = at
+        roots, at = _save(found, "roots")
+        discard(spark, was)
+        discard(spark, pointers)
     return roots

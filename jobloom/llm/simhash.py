@@ -10,19 +10,21 @@
 4. Small buckets are joined with themselves on the choice and verified by bit count in the
    join. A large bucket is cut into cells of a bounded number of nodes; each pair of
    cells is compared in numpy and returns a spanning forest of its links, not all pairs.
-   No candidate is dropped, and no bucket lands in one task.
-5. Links are joined up by contraction (:mod:`jobloom.llm.components`).
+   No candidate is dropped. The largest buckets are few by arithmetic, are told to all tasks, and
+   go to their cells without ever being dealt by bucket.
+5. Links are joined up by contraction (:mod:`jobloom.llm.components`). Large components and
+   fingerprints of very many rows are dealt over salts when names are joined back.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm.components import components
-from jobloom.llm.tables import table, written
+from jobloom.llm.tables import HOT_SHARE, hot_join, table, written
 
 WORDS_PER_SHINGLE = 4
 MAX_DISTANCE = 4
@@ -58,12 +60,16 @@ def _fingerprints(batches):
 
     for batch in batches:
         found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        kept = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], pa.array(found.view(np.int64))], names=[*kept, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of each row of ``docs``; null and empty texts have fp 0."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, with_hash: bool = False) -> DataFrame:
+    """(doc_id, fp) of each row of ``docs``, with text_hash between them if asked for; null and
+    empty texts have fp 0."""
+    extra = [F.xxhash64("text").alias("text_hash")] if with_hash else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *extra, "text")
+    return rows.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long" if with_hash else "doc_id long, fp long")
 
 
 def block_count(nodes: int, distance: int) -> int:
@@ -130,11 +136,16 @@ def _linker(distance: int):
 def near_links(nodes: DataFrame, distance: int = MAX_DISTANCE, small_bucket: int = SMALL_BUCKET, cell: int = CELL) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``nodes.fp`` that join up exactly those
     within ``distance`` bits of each other."""
-    masks = choices(block_count(nodes.count(), distance), distance)
+    n_nodes = nodes.count()
+    masks = choices(block_count(n_nodes, distance), distance)
     every = F.array(*[F.struct(F.lit(i).alias("choice"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(masks)])
     dealt = nodes.select("fp", F.explode(every).alias("c")).select("fp", F.col("c.choice").alias("choice"), F.col("fp").bitwiseAND(F.col("c.mask")).alias("bits"))
-    counts = dealt.groupBy("choice", "bits").agg(F.count("*").alias("n")).filter("n > 1")
-    company = written(dealt.join(counts, ["choice", "bits"]), "blocks")  # those alone in a bucket are gone
+    bucket = ["choice", "bits"]
+    counts = written(dealt.groupBy(*bucket).agg(F.count("*").alias("n")).filter("n > 1"), "buckets")  # those alone in a bucket are gone
+    most = max(cell, int(HOT_SHARE * n_nodes * len(masks)))
+    large = F.broadcast(counts.filter(F.col("n") > most))  # at most 1 / HOT_SHARE rows
+    company = dealt.join(large.select(*bucket), bucket, "left_anti").join(counts.filter(F.col("n") <= most), bucket).unionByName(dealt.join(large, bucket))
+    company = written(company, "blocks")
     few = company.filter(F.col("n") <= small_bucket).drop("n")
     other = few.select("choice", "bits", F.col("fp").alias("other"))
     close = (F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance)
@@ -147,6 +158,32 @@ def near_links(nodes: DataFrame, distance: int = MAX_DISTANCE, small_bucket: int
     return links.unionByName(dense)
 
 
+def grouped(prints: DataFrame, first: Column, distance: int = MAX_DISTANCE) -> DataFrame:
+    """(fp, root, first) of each different fingerprint of ``prints.fp``: equal roots are one
+    group; ``first`` is an aggregate over the rows of the fingerprint."""
+    nodes = written(prints.groupBy("fp").agg(first.alias("first")), "nodes")
+    roots = components(near_links(nodes, distance))
+    rooted = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    return written(rooted.select("fp", F.coalesce("root", "fp").alias("root"), "first"), "rooted")
+
+
+def removed_keys(docs: DataFrame, distance: int = MAX_DISTANCE) -> tuple[DataFrame, DataFrame]:
+    """What goes if one row of each group of near-duplicates stays, by keys (doc_id, text_hash),
+    where text_hash is xxhash64 of the text: first the keys of which no row stays, then the keys
+    of which one of several rows does.
+
+    The row that stays has the smallest doc_id of its group, then the smallest text_hash. Rows are
+    judged by doc_id *and* text: rows that share a doc_id but not a text are in the groups of their
+    texts. Rows without a doc_id belong to no group.
+    """
+    prints = written(fingerprints(docs.filter("doc_id IS NOT NULL"), with_hash=True), "fingerprints")
+    winners = grouped(prints, F.min(F.struct("doc_id", "text_hash")), distance).groupBy("root").agg(F.min("first").alias("first"))
+    winners = winners.select("first.doc_id", "first.text_hash", F.lit(True).alias("wins"))
+    keys = prints.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).join(winners, ["doc_id", "text_hash"], "left")
+    keys = written(keys, "judged-keys")
+    return keys.filter("wins IS NULL").select("doc_id", "text_hash"), keys.filter("wins AND n > 1").select("doc_id", "text_hash")
+
+
 def near_duplicates(docs: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, fingerprint, component_id.
 
@@ -157,12 +194,10 @@ def near_duplicates(docs: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     empty table gives no rows; other columns are ignored.
     """
     prints = written(fingerprints(docs), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(near_links(nodes, distance))
-    rooted = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+    rooted = grouped(prints, F.min("doc_id"), distance)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = hot_join(rooted.select("fp", "root"), least, ["root"], ["fp"], "inner").select("fp", "component_id")
+    return hot_join(prints, named, ["fp"], ["doc_id"], "inner").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

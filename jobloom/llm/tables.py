@@ -6,6 +6,7 @@ driver and executors share; so a lost executor costs only the tasks it ran.
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 
@@ -53,8 +54,11 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def cleanup(spark: SparkSession) -> None:
-    """Delete every table this application has written with :func:`written`."""
+    """Delete every table this application has written with :func:`written`, and the
+    temporary folder of a local session."""
     discard(spark, f"{shared_dir(spark)}/jobloom/{spark.sparkContext.applicationId}")
+    while _LOCAL_DIR:
+        shutil.rmtree(_LOCAL_DIR.pop(), ignore_errors=True)
 
 
 def small(df: DataFrame, max_rows: int) -> DataFrame:
@@ -63,6 +67,39 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+#: A key is hot from so many rows on, or from this share of the table on, so that there are at
+#: most ``1 / HOT_SHARE`` hot keys, whatever the size.
+HOT_ROWS = 1000
+HOT_SHARE = 1e-4
+MAX_SALTS = 4096
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], spread: list[str], how: str = "left") -> DataFrame:
+    """``rows`` joined with ``facts``, which has one row a key, such that no key's rows land in
+    one task: rows of a hot key are dealt over salts by the hash of the columns ``spread``, and
+    that key's fact is copied for each salt. Only the hot keys and their counts are broadcast,
+    10,000 at most. Null keys match nothing and are dealt by hash too. ``how`` is left or
+    inner; ``rows`` is read twice, so it should be cheap to read."""
+    n_rows = rows.count()
+    if n_rows <= HOT_ROWS:  # no key can be hot
+        return rows.join(facts, keys, how)
+    most = max(HOT_ROWS, int(n_rows * HOT_SHARE))
+    counts = rows.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
+    hot = written(counts.select(*keys, F.least(F.ceil(F.col("_n") / most), F.lit(MAX_SALTS)).cast("int").alias("_salts")), "hot-keys")
+    own = F.xxhash64(*[F.col(f"`{c}`") for c in spread])
+    null = F.lit(False)
+    for k in keys:
+        null = null | F.col(k).isNull()
+    if hot.isEmpty():
+        dealt = rows.withColumn("_salt", F.when(null, F.pmod(own, F.lit(MAX_SALTS))).otherwise(0).cast("int"))
+        copies = facts.withColumn("_salt", F.lit(0))
+    else:
+        salts = F.when(null, F.lit(MAX_SALTS)).otherwise(F.coalesce("_salts", F.lit(1)))
+        dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(own, salts).cast("int")).drop("_salts")
+        copies = facts.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -74,3 +111,10 @@ def ascii_lower(c: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of the library's own constants, made of literals within the plan."""
+    fields = [f.split(" ", 1) for f in schema.split(", ")]
+    every = [F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(r, fields, strict=True)]) for r in rows]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*every)))

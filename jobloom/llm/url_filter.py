@@ -2,17 +2,18 @@
 
 A listed URL is a host and a path prefix; it covers its host, all subdomains, and all
 paths that start with its path. Each page's URL is canonicalised to (host, path) and
-expanded to the few keys under which a listed URL could cover it: host suffixes (as
-many labels as the longest listed host has) times path prefixes (the lengths that
-occur in the list). The keys probe the filter; those that may be listed go on to a hash
-join with the list, which removes the false positives. The longest listed key wins.
-
-Scale: only the URL column is read. The filter is a table of 256-bit blocks whose number
-has a fixed upper bound, so it is broadcast; a fuller filter lets more keys through to the
-exact join but never changes a result. The list itself is broadcast only up to a checked
-row count; beyond it the join is shuffled with salted keys, since one listed key (a
-top-level domain) may cover a third of the pages. One further shuffle brings together
-what map-side aggregation has already reduced to one row per page.
+expanded, within its row, to the keys under which a listed URL could cover it: host suffixes
+(as many labels as the longest listed host has) times path prefixes (the lengths that
+occur in the list). The keys probe the filter in the row; only those that may be listed become
+rows and go on to a hash join with the list, which removes the false positives. The longest listed
+key wins.
+
+Scale: only the URL column is read. The filter is an array of 256-bit blocks whose number
+has a fixed upper bound, so it goes out with the plan; a fuller filter lets more keys through to
+the exact join but never changes a result. The list itself is broadcast only up to a checked
+row count; beyond it the join is shuffled, with the rows of hot keys dealt over salts, since one
+listed key (a top-level domain) may cover a third of the pages. One further shuffle brings
+together what map-side aggregation has already reduced to one row per page.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.tables import ascii_lower, table
+from jobloom.llm import bloom
+from jobloom.llm.tables import ascii_lower, hot_join, literal_table, table, written
 
 #: The listed canonical URLs of the registered query: host, path prefix, action.
 RULES = [
@@ -31,11 +33,7 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 
-WORDS = 4  # of 64 bits in a block
-MAX_BLOCKS = 1 << 16  # 2 MB of bits: the bound of what is broadcast
-KEYS_PER_BLOCK = 20  # about 13 bits a key
 MAX_BROADCAST_RULES = 50_000
-SALTS = 64
 
 
 def canonical(url: Column) -> tuple[Column, Column]:
@@ -50,23 +48,6 @@ def canonical(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-
-
-def _masks(key: Column) -> list[Column]:
-    """One bit for each word of the block, from a second hash."""
-    h = F.xxhash64(key, F.lit("bits"))
-    return [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(WORDS)]
-
-
-def bloom_filter(keys: DataFrame, blocks: int) -> DataFrame:
-    """The non-empty blocks of a filter of ``keys.key``: (block, w0..w3)."""
-    masks = _masks(F.col("key"))
-    rows = keys.select(_block(F.col("key"), blocks).alias("block"), *[m.alias(f"m{i}") for i, m in enumerate(masks)])
-    return rows.groupBy("block").agg(*[F.bit_or(f"m{i}").alias(f"w{i}") for i in range(WORDS)])
-
-
 def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """Judge each row of ``pages`` (page_id, url) by ``rules`` (host, path, action).
 
@@ -79,6 +60,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     """
     rules = (
         rules.select(F.coalesce("host", F.lit("")).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), "action")
+        .filter("rule_path = '' OR rule_path LIKE '/%'")  # a path that is not empty starts so
         .groupBy("rule_host", "rule_path")
         .agg(F.max("action").alias("action"))
         .withColumn("key", F.concat("rule_host", "rule_path"))
@@ -88,7 +70,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     urls = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
     if not shape["n"]:
         return urls.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    blocks = min(MAX_BLOCKS, 1 << max(0, (shape["n"] // KEYS_PER_BLOCK).bit_length()))
+    blocks = bloom.blocks_for(shape["n"])
+    words = bloom.as_literal(bloom.filled_blocks(rules.select(F.xxhash64("key").alias("h")), blocks), blocks)
     lengths = F.array(*[F.lit(x) for x in sorted(shape["lengths"])])
     labels = F.col("labels")
     suffix = lambda i: F.array_join(F.slice(labels, -i, i), ".")
@@ -98,20 +81,15 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
             lambda i: F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.concat(suffix(i), F.substring(F.col("path"), F.lit(1), n))),
         )
     )
+    hits = F.filter(keys, lambda k: bloom.may_hold(words, F.xxhash64(k), blocks))
     # The null key stands for the page itself, so that pages without a hit stay.
-    probes = urls.withColumn("labels", F.split("host", r"\.")).select("page_id", "host", "path", F.explode(F.concat(F.array(F.lit(None).cast("string")), keys)).alias("key"))
-    probes = probes.withColumn("block", F.when(F.col("key").isNotNull(), _block(F.col("key"), blocks)))
-    bits = F.broadcast(bloom_filter(rules, blocks))  # at most MAX_BLOCKS rows
-    hit = F.lit(True)
-    for i, m in enumerate(_masks(F.col("key"))):
-        hit = hit & (F.col(f"w{i}").bitwiseAND(m) != 0)
-    possible = probes.join(bits, "block", "left").filter(F.col("key").isNull() | hit).select("page_id", "host", "path", "key")
+    keyed = urls.withColumn("labels", F.split("host", r"\.")).select("page_id", "host", "path", hits.alias("hits"))
+    possible = keyed.select("page_id", "host", "path", F.explode(F.concat(F.array(F.lit(None).cast("string")), "hits")).alias("key"))
     listed = rules.select("key", "action")
     if shape["n"] <= MAX_BROADCAST_RULES:
         exact = possible.join(F.broadcast(listed), "key", "left")
     else:
-        salted = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        exact = possible.withColumn("salt", F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"], "left")
+        exact = hot_join(written(possible, "possible-urls"), listed, ["key"], ["page_id", "host", "path"])
     best = F.max(F.when(F.col("action").isNotNull(), F.struct(F.length("key").alias("n"), "key", "action")))
     judged = exact.groupBy("page_id", "host", "path").agg(best.alias("best"), F.count_if(F.col("key").isNull()).alias("copies"))
     return judged.select(
@@ -121,7 +99,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    rules = literal_table(spark, RULES, "host string, path string, action string")
     return filter_urls(table(spark, sf_dir, "pages"), rules)
 
 

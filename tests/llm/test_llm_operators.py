@@ -6,9 +6,10 @@ import re
 import numpy as np
 import pytest
 from conftest import same_rows
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from jobloom.llm import components, decontamination, language_id, mixing, pii, quality_model, quality_rules, queries, sampling, simhash, tool_calls, url_filter, warc
+from jobloom.llm import bloom, components, decontamination, language_id, mixing, pii, quality_model, quality_rules, queries, sampling, simhash, tool_calls, url_filter, warc
 from jobloom.llm.tables import fresh_path
 
 DATA = "/root/testdata/sf0.001"
@@ -78,7 +79,7 @@ def test_full_bloom_filter_and_shuffled_list_change_nothing(spark, monkeypatch):
     rules = spark.createDataFrame(url_filter.RULES, "host string, path string, action string")
     want = sorted(url_filter.filter_urls(pages, rules).collect(), key=str)
     many = rules.union(spark.range(3000).selectExpr("concat('h', id, '.org')", "'/'", "'block'"))
-    monkeypatch.setattr(url_filter, "MAX_BLOCKS", 1)
+    monkeypatch.setattr(bloom, "MAX_BLOCKS", 1)
     monkeypatch.setattr(url_filter, "MAX_BROADCAST_RULES", 1)
     assert sorted(url_filter.filter_urls(pages, many).collect(), key=str) == want
 
@@ -108,7 +109,7 @@ def test_quality_held_out(spark):
 
 def test_sample_is_bounded(spark):
     rows = spark.range(5000).selectExpr("id AS doc_id", "CASE WHEN id % 50 = 0 THEN 'rare' ELSE 'hot' END AS lang")
-    counts = {r["lang"]: r["count"] for r in sampling.per_class_sample(rows, "lang", "doc_id", 60).groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in sampling.per_class_sample(rows.withColumn("text", F.lit("x")), "lang", "doc_id", "text", 60).groupBy("lang").count().collect()}
     assert counts == {"rare": 60, "hot": 60}
 
 
