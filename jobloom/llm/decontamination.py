@@ -8,17 +8,23 @@ WAND moves over the postings of a passage's terms and skips items whose upper bo
 stay below. A hit is verified on the text: enough of the item's word shingles, in the question
 (all but its last sentence) and the answer (the last) alike.
 
-Scale: one pass over the texts with the index in the task. Indexes are built over shards of
-at most ``SHARD_ITEMS`` items, so what is sent out has a fixed bound; more items make more
-passes. The sums of block maxima over the different terms of a passage are taken for all
-passages of a text at once in numpy; a passage goes on to the loop of pivots only if
-some block of items could reach the threshold.
+Before the loop of pivots, the sums of block maxima are taken in numpy for all passages of a
+text at once, over *strong* postings only: of each item, its least weights are weak as long as
+they sum to at most ``WEAK``. A passage that reaches the threshold reaches the threshold
+less ``WEAK`` on strong postings alone, so none is missed, and the common words of the items,
+which are in all texts, are never summed.
+
+Scale: one pass over the texts for up to ``PASS_BYTES`` of item text (some 60,000 items), with
+the indexes of all those items in the task: arrays of a few times that size, broadcast once
+and kept by a Python worker. More items make more passes within the same stage where documents
+are filtered. Items are indexed with others of like length, as a passage is as long as
+the longest of them twice.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -31,13 +37,14 @@ from jobloom.llm.tables import table
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6  # of an item's score for itself
+WEAK = 0.3  # of an item's score for itself, at most, that its weak postings have together
 SHINGLE = 5
 MIN_OVERLAP = 0.8  # of an item's word shingles
 MIN_PART = 0.5  # of those of its question, and of the words of its answer
-BLOCK = 4  # items in a block
-SHARD_ITEMS = 2000
-MIN_PASSAGE = 64  # words
-CHUNK = 512  # half passages taken at once of a long text
+BLOCK = 4  # postings in a block, and items in a block of the strong maxima
+PASS_BYTES = 32 << 20  # of item text that is indexed for one pass
+MIN_PASSAGE, LENGTH_STEP = 64, 4  # words; items of up to 32, 128, 512, … words have an index each
+CHUNK_CELLS = 1 << 22  # passages times blocks summed at once for a long text
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 #: ASCII that is no letter or digit becomes a space; other bytes stay.
@@ -66,198 +73,239 @@ def question_answer(text: str) -> tuple[list[bytes], list[bytes]]:
 
 @dataclass
 class Postings:
-    items: list[int]
-    weights: list[float]
-    bound: float
-    block_bounds: list[float]
+    """A term's items in order, their weights, the largest weight, and that of each block."""
+
+    items: np.ndarray
+    weights: np.ndarray
+    block_bounds: np.ndarray
+
+    @property
+    def bound(self) -> float:
+        return float(self.block_bounds.max())
 
 
 class Index:
-    """An inverted index of items (id, text); those without a word are left out."""
+    """An inverted index of items (id, text); those without a word are left out. All arrays
+    are flat, by term: postings of term ``t`` are those from ``start[t]`` to ``start[t + 1]``."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[object, str]]):
         kept = [(i, t, w) for i, t in items if (w := words(t))]
         self.ids = [i for i, _, _ in kept]
         self.tokens = [w for _, _, w in kept]
-        self.parts = [question_answer(t) for _, t, _ in kept]
+        self.texts = [t for _, t, _ in kept]
         self.passage = max([MIN_PASSAGE, *(2 * len(w) for w in self.tokens)])
-        mean = sum(map(len, self.tokens)) / max(1, len(kept))
-        counts: dict[bytes, dict[int, int]] = defaultdict(dict)
-        for n, w in enumerate(self.tokens):
-            for t in w:
-                counts[t][n] = counts[t].get(n, 0) + 1
-        raw: dict[bytes, dict[int, float]] = {}
-        own = [0.0] * len(kept)
-        for t, tf in counts.items():
-            idf = np.log(1 + (len(kept) - len(tf) + 0.5) / (len(tf) + 0.5))
-            raw[t] = {n: float(idf * f * (K1 + 1) / (f + K1 * (1 - B + B * len(self.tokens[n]) / mean))) for n, f in tf.items()}
-            for n, x in raw[t].items():
-                own[n] += x
         self.term: dict[bytes, int] = {}
-        self.postings: list[Postings] = []
-        for t, of in raw.items():
-            at = sorted(of)
-            x = [of[n] / own[n] for n in at]
-            self.term[t] = len(self.postings)
-            self.postings.append(Postings(at, x, max(x), [max(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK)]))
-        # The largest weight of each term in each block of items.
-        self.maxima = np.zeros((len(self.postings), -(-len(kept) // BLOCK)), np.float32)
-        for t, p in enumerate(self.postings):
-            np.maximum.at(self.maxima[t], np.array(p.items) // BLOCK, np.array(p.weights, np.float32))
+        pairs = [self.term.setdefault(w, len(self.term)) * len(kept) + n for n, tokens in enumerate(self.tokens) for w in tokens]
+        pair, tf = np.unique(np.array(pairs, np.int64), return_counts=True)
+        term, item = np.divmod(pair, max(1, len(kept)))
+        n_terms, lengths = len(self.term), np.array([len(w) for w in self.tokens])
+        df = np.bincount(term, minlength=n_terms)
+        idf = np.log(1 + (len(kept) - df + 0.5) / (df + 0.5))
+        mean = lengths.mean() if len(kept) else 1.0
+        raw = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / mean))
+        self.items = item.astype(np.int32)
+        self.weights = raw / np.bincount(item, raw, len(kept))[item] if len(kept) else raw
+        self.start = np.concatenate([[0], np.cumsum(df)]).astype(np.int64)
+        self._keep_strong(term, item)
+
+    def _keep_strong(self, term: np.ndarray, item: np.ndarray) -> None:
+        """The largest strong weight of each term in each block of items, flat by term."""
+        order = np.lexsort((self.weights, item))
+        sums = np.cumsum(self.weights[order])
+        first = np.searchsorted(item[order], np.arange(len(self.ids)))
+        before = np.concatenate([[0.0], sums])[first]
+        strong = np.zeros(len(item), bool)
+        strong[order] = sums - before[item[order]] > WEAK
+        self.n_blocks = -(-len(self.ids) // BLOCK)
+        cell, at = np.unique(term[strong] * max(1, self.n_blocks) + item[strong] // BLOCK, return_inverse=True)
+        most = np.zeros(len(cell), np.float32)
+        np.maximum.at(most, at, self.weights[strong].astype(np.float32))
+        self.strong_block, self.strong_most = (cell % max(1, self.n_blocks)).astype(np.int32), most
+        self.strong_start = np.searchsorted(cell // max(1, self.n_blocks), np.arange(len(self.term) + 1))
+
+    def postings(self, t: int) -> Postings:
+        a, b = self.start[t], self.start[t + 1]
+        weights = self.weights[a:b]
+        return Postings(self.items[a:b], weights, np.maximum.reduceat(weights, np.arange(0, b - a, BLOCK)))
 
     def search(self, terms: list[int], least: float = THRESHOLD) -> dict[int, float]:
         """All items whose score for these different terms is at least ``least``."""
-        lists = [self.postings[t] for t in terms]
+        lists = [self.postings(t) for t in terms]
+        bounds = [x.bound for x in lists]
         at = [0] * len(lists)
-        order = [k for k in range(len(lists)) if lists[k].items]
+        now = [int(x.items[0]) for x in lists]
+        order = list(range(len(lists)))
         found: dict[int, float] = {}
         slack = least - 1e-9
         while order:
-            order.sort(key=lambda k: lists[k].items[at[k]])
+            order.sort(key=now.__getitem__)
             total, pivot = 0.0, -1
             for n, k in enumerate(order):
-                total += lists[k].bound
+                total += bounds[k]
                 if total >= slack:
                     pivot = n
                     break
             if pivot < 0:
                 break
-            item = lists[order[pivot]].items[at[order[pivot]]]
-            while pivot + 1 < len(order) and lists[order[pivot + 1]].items[at[order[pivot + 1]]] == item:
+            item = now[order[pivot]]
+            while pivot + 1 < len(order) and now[order[pivot + 1]] == item:
                 pivot += 1
             head = order[: pivot + 1]
             # The blocks in which the lists of the head would hold the pivot item.
-            blocks, total = [], 0.0
+            total, end = 0.0, None
             for k in head:
-                x, b = lists[k].items, at[k] // BLOCK
-                while (b + 1) * BLOCK < len(x) and x[(b + 1) * BLOCK] <= item:
-                    b += 1
-                blocks.append(b)
-                total += lists[k].block_bounds[b]
+                x = lists[k].items
+                b = (min(at[k] + int(np.searchsorted(x[at[k] :], item)), len(x) - 1)) // BLOCK
+                total += float(lists[k].block_bounds[b])
+                last = int(x[min((b + 1) * BLOCK, len(x)) - 1])
+                if last >= item:
+                    end = last if end is None else min(end, last)
             if total < slack:
                 # No item up to the nearest block end, or the next list's item, can do.
-                after = min([lists[k].items[min((b + 1) * BLOCK, len(lists[k].items)) - 1] for k, b in zip(head, blocks, strict=True)]) + 1
+                after = item + 1 if end is None else end + 1
                 if pivot + 1 < len(order):
-                    after = min(after, lists[order[pivot + 1]].items[at[order[pivot + 1]]])
+                    after = min(after, now[order[pivot + 1]])
                 after = max(after, item + 1)
-            elif lists[order[0]].items[at[order[0]]] == item:
-                score = sum(lists[k].weights[at[k]] for k in head)
+            elif now[order[0]] == item:
+                score = sum(float(lists[k].weights[at[k]]) for k in head)
                 if score >= slack:
                     found[item] = score
                 after = item + 1
             else:
                 after = item
             for k in head:
-                x = lists[k].items
-                while at[k] < len(x) and x[at[k]] < after:
-                    at[k] += 1
-            order = [k for k in order if at[k] < len(lists[k].items)]
+                if now[k] < after:
+                    x = lists[k].items
+                    at[k] += int(np.searchsorted(x[at[k] :], after))
+                    now[k] = int(x[at[k]]) if at[k] < len(x) else -1
+            order = [k for k in order if now[k] >= 0]
         return found
 
     def _candidates(self, terms: np.ndarray, step: int) -> list[int]:
-        """Numbers of the passages (two neighbouring half passages of ``step`` words) in
-        which some block of items has block maxima that sum to the threshold. Terms
-        count once in each half at first, then once in the passages that are left."""
-        place = np.flatnonzero(terms < len(self.postings))
-        t, half = terms[place], place // step
-        order = np.argsort(t.astype(np.uint16) if len(self.postings) < 1 << 16 else t, kind="stable")
-        same = (t[order[1:]] == t[order[:-1]]) & (half[order[1:]] == half[order[:-1]])
-        first = np.ones(len(t), bool)
-        first[order[1:][same]] = False
-        t, half = t[first], half[first]
+        """Numbers of the passages (two neighbouring half passages of ``step`` words) in which some
+        block of items has strong maxima that sum to the threshold less ``WEAK``. Terms count
+        once in each half."""
+        place = np.flatnonzero(terms < len(self.term))
+        pair = np.unique(place // step * np.int64(len(self.term) + 1) + terms[place])
+        half, t = np.divmod(pair, len(self.term) + 1)
         halves, out = -(-len(terms) // step), []
-        for at in range(0, max(1, halves - 1), CHUNK):
-            i, j = np.searchsorted(half, [at, at + CHUNK + 1])
+        counts = self.strong_start[t + 1] - self.strong_start[t]
+        ends = np.cumsum(counts)
+        chunk = max(1, CHUNK_CELLS // max(1, self.n_blocks))
+        for a in range(0, max(1, halves - 1), chunk):
+            i, j = np.searchsorted(half, [a, a + chunk + 1])
             if i == j:
                 continue
-            n = half[i:j] - at
-            edges = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1]]))
-            bound = np.zeros((min(CHUNK, halves - at) + 1, self.maxima.shape[1]), np.float32)
-            bound[n[edges]] = np.add.reduceat(self.maxima[t[i:j]], edges)
-            found = np.flatnonzero(((bound[:-1] + bound[1:]).max(axis=1) >= THRESHOLD - 1e-4)) + at
+            n = counts[i:j]
+            # Places of all strong postings of these terms, one run after the other.
+            run = np.repeat(self.strong_start[t[i:j]] - (ends[i:j] - n - (ends[i - 1] if i else 0)), n) + np.arange(int(n.sum()))
+            rows = min(chunk, halves - a) + 1
+            cells = np.repeat(half[i:j] - a, n) * self.n_blocks + self.strong_block[run]
+            bound = np.bincount(cells, self.strong_most[run], rows * self.n_blocks).reshape(rows, self.n_blocks)
+            found = np.flatnonzero((bound[:-1] + bound[1:]).max(axis=1) >= THRESHOLD - WEAK - 1e-4) + a
             out += found[found < max(1, halves - 1)].tolist()
         return out
 
-    def hits(self, text: str | None) -> list[tuple[int, float, float, float, float]]:
-        """Of a whole text: (item id, score, overlap, question overlap, answer overlap) of
-        each verified item, with its best passage."""
-        tokens = words(text)
+    def hits(self, tokens: list[bytes]) -> Iterator[tuple[object, float, float, float, float]]:
+        """Of the words of a whole text: (item id, score, overlap, question overlap, answer
+        overlap) of each verified item, with its best passage."""
         if not tokens or not self.ids:
-            return []
-        none = len(self.postings)
+            return
+        none = len(self.term)
         terms = np.fromiter(map(self.term.get, tokens, repeat(none)), np.int64, len(tokens))
         step = self.passage // 2
         best: dict[int, tuple[float, float, float, float]] = {}
         for n in self._candidates(terms, step):
             a, b = n * step, n * step + self.passage
             seen = np.unique(terms[a:b])
-            seen = seen[seen < none]
-            if self.maxima[seen].sum(axis=0).max() < THRESHOLD - 1e-4:
-                continue
             near = None
-            for item, score in self.search(seen.tolist()).items():
+            for item, score in self.search(seen[seen < none].tolist()).items():
                 near = near or (shingles(tokens[a:b]), set(tokens[a:b]))
-                question, answer = self.parts[item]
+                own = self.tokens[item]
+                question, answer = question_answer(self.texts[item])
                 share = lambda x, y: len(x & y) / len(x) if x else 1.0
-                whole = share(shingles(self.tokens[item]), near[0]) if len(self.tokens[item]) >= SHINGLE else float(_within(self.tokens[item], tokens[a:b]))
+                whole = share(shingles(own), near[0]) if len(own) >= SHINGLE else float(_within(own, tokens[a:b]))
                 asked = share(shingles(question), near[0]) if len(question) >= SHINGLE else float(not question or _within(question, tokens[a:b]))
                 answered = share(set(answer), near[1])
                 if whole >= MIN_OVERLAP and asked >= MIN_PART and answered >= MIN_PART:
                     best[item] = max(best.get(item, (0.0,) * 4), (score, whole, asked, answered))
-        return [(self.ids[i], *x) for i, x in sorted(best.items())]
+        for i, x in sorted(best.items()):
+            yield self.ids[i], *x
 
 
 def _within(few: list[bytes], many: list[bytes]) -> bool:
     return any(many[i : i + len(few)] == few for i in range(len(many) - len(few) + 1))
 
 
-def indexes(benchmark: DataFrame, shard_items: int = SHARD_ITEMS):
-    """An index of each shard of ``benchmark`` (item_id, text), of bounded size."""
+def by_length(items: list[tuple[object, str]]) -> list[Index]:
+    """An index for each class of lengths that occurs."""
+    classes: dict[int, list[tuple[object, str]]] = {}
+    for i, t in items:
+        top = MIN_PASSAGE // 2
+        while top < len(words(t)):
+            top *= LENGTH_STEP
+        classes.setdefault(top, []).append((i, t))
+    return [Index(classes[c]) for c in sorted(classes)]
+
+
+def indexes(benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> Iterator[list[Index]]:
+    """The indexes of each pass over the texts: ``benchmark`` (item_id, text) in shards of at
+    most about ``pass_bytes`` of text."""
     items = benchmark.select("item_id", "text").filter(F.col("text").isNotNull() & F.col("item_id").isNotNull())
-    shards = max(1, -(-items.count() // shard_items))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // pass_bytes))
     for s in range(shards):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s)
-        yield Index(sorted({(r["item_id"], r["text"]) for r in own.toLocalIterator()}))
+        yield by_length(sorted({(r["item_id"], r["text"]) for r in own.toLocalIterator()}))
+
+
+def _all_hits(own: list[Index], text: str | None) -> Iterator[tuple[object, float, float, float, float]]:
+    tokens = words(text)
+    for index in own:
+        yield from index.hits(tokens)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, shard_items: int = SHARD_ITEMS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """(doc_id, item_id, score, overlap, question_overlap, answer_overlap) of each row of
     ``docs`` (doc_id, text) and each item of ``benchmark`` (item_id, text) that it contains.
 
     Null texts contain nothing; items with null text or id, or without a word, are not
-    sought. Items of the same text are all reported. Rows that repeat are each reported.
-    Texts are searched whole. Empty tables give no rows; other columns are ignored.
+    sought. Ids may be of any type that sorts. Items of the same text are all reported. Rows that
+    repeat are each reported. Texts are searched whole. BM25 counts its words over the items of like
+    length of a pass. Empty tables give no rows; other columns are ignored.
     """
     rows, out = docs.select("doc_id", "text"), None
-    kind = dict(rows.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, item_id {dict(benchmark.dtypes)['item_id']}, score double, overlap double, question_overlap double, answer_overlap double"
-    for index in indexes(benchmark, shard_items):
+    names = ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"]
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, " + ", ".join(f"{n} double" for n in names[2:])
+    item_type = benchmark.select("item_id").limit(0).toArrow().schema.field("item_id").type
+    for own in indexes(benchmark, pass_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(own)  # a few times pass_bytes
 
-        def found(batches, index=index):
+        def found(batches, sent=sent):
             for batch in batches:
                 at, hits = [], []
                 for i, t in enumerate(batch.column("text").to_pylist()):
-                    for h in index.hits(t):
+                    for h in _all_hits(sent.value, t):
                         at.append(i)
                         hits.append(h)
                 columns = list(zip(*hits, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(columns[0], pa.int64()), *[pa.array(c, pa.float64()) for c in columns[1:]]],
-                    names=["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"])
+                    [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(columns[0], item_type), *[pa.array(c, pa.float64()) for c in columns[1:]]], names=names)
 
         part = rows.mapInArrow(found, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, shard_items: int = SHARD_ITEMS) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The rows of ``docs``, with all their columns, that contain no item. A filter
     within the pass over the texts: nothing is joined or shuffled."""
-    for index in indexes(benchmark, shard_items):
+    for own in indexes(benchmark, pass_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(own)
 
-        def clean(batches, index=index):
+        def clean(batches, sent=sent):
             for batch in batches:
-                yield batch.filter(pa.array([not index.hits(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([next(_all_hits(sent.value, t), None) is None for t in batch.column("text").to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs

@@ -243,10 +243,10 @@ def test_wand_finds_all_above_threshold(spark):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     index, rng = decontamination.Index(items), random.Random(1)
     for _ in range(400):
-        q = rng.sample(range(len(index.postings)), rng.randint(1, 40)) if rng.random() < 0.5 else sorted({index.term[w] for w in rng.choice(index.tokens)})
+        q = rng.sample(range(len(index.term)), rng.randint(1, 40)) if rng.random() < 0.5 else sorted({index.term[w] for w in rng.choice(index.tokens)})
         score = {}
         for t in q:
-            for i, x in zip(index.postings[t].items, index.postings[t].weights, strict=True):
+            for i, x in zip(index.postings(t).items.tolist(), index.postings(t).weights.tolist(), strict=True):
                 score[i] = score.get(i, 0) + x
         for least in (0.05, 0.2, 0.6):
             assert set(index.search(q, least)) == {i for i, x in score.items() if x >= least - 1e-9}
@@ -262,7 +262,7 @@ def test_leaks_by_brute_force(spark):
         own = decontamination.shingles(decontamination.words(r["text"]))
         want |= {(r["doc_id"], i) for i, g in grams.items() if len(g & own) >= 0.8 * len(g)}
     assert got == want and want
-    left = decontamination.without_contaminated(docs, spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet"), shard_items=7)
+    left = decontamination.without_contaminated(docs, spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet"), pass_bytes=2000)
     assert {r["doc_id"] for r in left.select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()} - {d for d, _ in want}
 
 
