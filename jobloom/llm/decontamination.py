@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.tables import table
+from jobloom.llm.tables import map_rows, table
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6  # of an item's score for itself
@@ -307,7 +307,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, pass_bytes: int
             for batch in batches:
                 yield batch.filter(pa.array([next(_all_hits(sent.value, t), None) is None for t in batch.column("text").to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = map_rows(docs, clean)
     return docs
 
 

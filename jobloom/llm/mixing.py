@@ -9,8 +9,12 @@ remaining word, so the last document may count in part.
 Scale: word counts are taken once and written with the hash key as a narrow table. Keys
 are uniform, so fixed ranges of the key split every source, however hot, into pieces of
 like size; the prefix sums are first those of the pieces, summed by map-side combining,
-then those within the one piece of each source that holds its cut. The plan has
-one row per source. No window runs over a source, and no text is shuffled.
+then those within the one piece of each source that holds its cut. No window runs over a
+source, and no text is shuffled.
+
+Sources may be as many as domains: they are numbered by a range sort with an offset for each
+range, and targets come from a few aggregations over one row per source. Each holds the sources
+whose share is above their limit at the limit and shares out what is left, until none is above.
 """
 
 from __future__ import annotations
@@ -32,27 +36,32 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("source", F.lit("")).alias("src"), F.col("source").isNull().alias("src_null"), word_count(F.col("text")).alias("size"), key.alias("key"))
 
 
-def _weight(rank: Column, weights: tuple[int, ...]) -> Column:
-    return F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int"))
+def numbered(totals: DataFrame) -> DataFrame:
+    """``totals`` with ``rank``, from 0, by code point of the source, null last."""
+    ranged = written(totals.repartitionByRange("src_null", "src").withColumn("part", F.spark_partition_id()), "mix-sources")
+    sizes = sorted((r["part"], r["count"]) for r in ranged.groupBy("part").count().collect())  # one row a partition
+    before, offsets = 0, [0] * (sizes[-1][0] + 1 if sizes else 1)
+    for part, n in sizes:
+        offsets[part], before = before, before + n
+    own = F.row_number().over(Window.partitionBy("part").orderBy("src_null", "src")) - 1
+    return ranged.withColumn("rank", own + F.get(F.from_json(F.lit(str(offsets)), "array<bigint>"), F.col("part"))).drop("part")
 
 
 def source_targets(totals: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
-    """Targets of sources (src, src_null, source_size). The windows run over one row
-    per source. Sources in ascending order of limit to weight: each is held at its
-    limit while its share of what the earlier ones left is above the limit."""
-    named = totals.withColumn("w", _weight(F.row_number().over(Window.orderBy("src_null", "src")), weights))
+    """Targets of sources (src, src_null, source_size), see the module's text."""
+    w = F.element_at(F.array(*[F.lit(x).cast("long") for x in weights]), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
     limit = F.col("source_size") * max_epochs
-    order = Window.orderBy((limit / F.col("w")).asc(), "src_null", "src")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("source_size").over(every) - F.coalesce(F.sum(limit).over(before), F.lit(0))
-    weight_left = F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0))
-    shares = named.select("*", limit.alias("limit"), left.alias("left"), weight_left.alias("weight_left"))
-    shares = shares.withColumn("share", F.col("left").cast("double") * F.col("w") / F.col("weight_left"))
-    # What the first source within its limit finds left holds for all after it.
-    free = F.min(F.when(F.col("share") <= F.col("limit"), F.struct((F.col("limit") / F.col("w")).alias("r"), "src_null", "src", "left", "weight_left"))).over(every)
-    target = F.when(F.col("share") > F.col("limit"), F.col("limit").cast("double")).otherwise(F.col("free.left").cast("double") * F.col("w") / F.col("free.weight_left"))
-    return shares.withColumn("free", free).select("src", "src_null", "source_size", target.alias("target"))
+    rows = written(numbered(totals).select("src", "src_null", "source_size", w.alias("w"), limit.alias("limit")), "mix-shares")
+    left, weight, held = rows.agg(F.sum("source_size"), F.sum("w"), F.lit(0)).first()
+    total = left or 0
+    share = lambda: F.lit(float(left or 0)) * F.col("w") / F.lit(weight or 1)
+    while True:
+        over = share() > F.col("limit")
+        n, limits, free = rows.agg(F.count_if(over), F.sum(F.when(over, F.col("limit"))), F.sum(F.when(~over, F.col("w")))).first()
+        if n == held or free is None:
+            break
+        left, weight, held = total - (limits or 0), free, n
+    return rows.select("src", "src_null", "source_size", F.when(share() > F.col("limit"), F.col("limit").cast("double")).otherwise(share()).alias("target"))
 
 
 def mixing_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.tables import table
+from jobloom.llm.tables import map_rows, table
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
@@ -445,7 +445,7 @@ def mask_personal_data(docs: DataFrame, model: Model | None = None) -> DataFrame
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema)
 
-    return docs.mapInArrow(clean, docs.schema)
+    return map_rows(docs, clean)
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from jobloom.llm.quality_rules import STOP_WORDS
 from jobloom.llm.sampling import held_out
-from jobloom.llm.tables import table
+from jobloom.llm.tables import map_rows, table
 
 MODULUS, HELD_OUT = 3, 1
 MAX_TRAIN = 8000  # bound of the training sample
@@ -153,8 +153,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train:
     """A model from rows of ``labels`` that are not held out, joined to their texts.
 
     The sample is the first ``max_train`` labels by the hash of the doc_id. Null labels and
-    doc_ids without a text are left out; of several labels of one document the
-    largest holds; of several rows of one document each counts.
+    doc_ids without a row are left out; of several labels of one document the largest holds; of
+    several rows of one document the one with the least measures counts, so no more than
+    ``max_train`` rows reach the driver.
     """
     few = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), MODULUS, HELD_OUT))
     few = few.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
@@ -166,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), x], names=["doc_id", "label", "x"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    found = rows.mapInArrow(measured, f"doc_id {kind}, label int, x array<double>").toArrow()
+    found = rows.mapInArrow(measured, f"doc_id {kind}, label int, x array<double>").groupBy("doc_id", "label").agg(F.min("x").alias("x")).toArrow()
     data = sorted(zip(found.column("doc_id").to_pylist(), found.column("label").to_pylist(), found.column("x").to_pylist(), strict=True))
     x = np.array([d[2] for d in data], np.float64).reshape(-1, len(FEATURES))
     return fit(x, np.array([d[1] for d in data], np.float64))
@@ -191,14 +192,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the model predicts as 1."""
+    """The rows of ``docs``, with all their columns, that the model predicts as 1. Null and empty
+    texts are judged as texts without words; an empty table gives no rows."""
 
     def kept(batches):
         for batch in batches:
             x = np.array([measures(t) for t in batch.column("text").to_pylist()], np.float64).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(model.scores(x) >= 0.5))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return map_rows(docs, kept)
 
 
 def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,6 +113,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def map_rows(docs: DataFrame, f) -> DataFrame:
+    """``docs.mapInArrow`` to the same columns, which here may have dots in their names."""
+    safe = [f"_column_{i}" if "." in c or "`" in c else c for i, c in enumerate(docs.columns)]
+    rows = docs.toDF(*safe)
+    return rows.mapInArrow(f, rows.schema).toDF(*docs.columns)
+
+
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table of the library's own constants, made of literals within the plan."""
     fields = [f.split(" ", 1) for f in schema.split(", ")]
