@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -15,21 +16,73 @@ _SKIP = {"script", "style", "noscript", "svg", "template"}
 _CHROME = {"nav", "header", "footer", "aside"}
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_REGIONS = ("main", "role", "content", "article")
+
+#: What a start tag ends if it is still open, unless one of the elements behind it has been opened since:
+#: end tags that HTML lets pages leave out.
+_ITEMS, _TABLES = ("ul", "ol", "menu", "dir"), ("table",)
+_SCOPE = ("table", "td", "th", "caption", "button", "object", "template")
+_IMPLIED = {
+    "li": (("li",), _ITEMS), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select", "datalist")), "optgroup": (("optgroup", "option"), ("select",)),
+    "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), _TABLES), **dict.fromkeys(("tbody", "thead", "tfoot"), (("tbody", "thead", "tfoot", "tr"), _TABLES)),
+    **dict.fromkeys("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split(), (("p",), _SCOPE)),
+}
 
 
 class _Reader(HTMLParser):
-    """One pass; text is kept with the regions it stands in."""
+    """One pass, in time by the length of the page: of the open elements it keeps where each tag is open,
+    so nothing ever walks over all of them. Text is kept with the regions it stands in."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, str | None]] = []
+        self.places: dict[str, list[int]] = defaultdict(list)  # of each tag, in ``open``
+        self.inside: Counter[str] = Counter()  # open elements by region, and of "skip" and "chrome"
+        self.regions: frozenset[str] = frozenset()
         self.titles, self.h1, self.text = [], [], []
         self.urls, self.jsonld, self.embeds, self.ids, self.site = [], [], [], [], ""
         self.ld: list[str] | None = None
         self.read: set[str] = set()  # of title and h1 the first counts
 
+    def is_open(self, tag: str) -> bool:
+        return bool(self.places[tag])
+
+    def _count(self, tag: str, region: str | None, by: int) -> None:
+        if tag in _SKIP:
+            self.inside["skip"] += by
+        if tag in _CHROME:
+            self.inside["chrome"] += by
+        if region:
+            self.inside[region] += by
+            self.regions = frozenset(r for r in _REGIONS if self.inside[r])
+
+    def pushed(self, tag: str, a: dict[str, str]) -> None:
+        """An element has been opened; it is not yet among the open ones."""
+
+    def popped(self, tag: str) -> None:
+        """An element is about to be closed; it is still among the open ones."""
+
+    def _close_from(self, at: int) -> None:
+        while len(self.open) > at:
+            tag, region = self.open[-1]
+            self.popped(tag)
+            self.open.pop()
+            self.places[tag].pop()
+            self._count(tag, region, -1)
+            if tag == "h1" or (tag == "title" and not self.is_open("svg")):
+                self.read.add(tag)
+
+    def _end_implied(self, tag: str) -> None:
+        ended, kept_by = _IMPLIED.get(tag, ((), ()))
+        last = lambda tags: max((self.places[t][-1] for t in tags if self.places[t]), default=-1)
+        limit = last(kept_by)
+        first = min((p for t in ended for p in self.places[t][-1:] if p > limit), default=-1)
+        if first >= 0:
+            self._close_from(first)
+
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in reversed(attrs)}
+        self._end_implied(tag)
         if "id" in a:
             self.ids.append(a["id"])
         if tag == "a" and "href" in a:
@@ -40,30 +93,35 @@ class _Reader(HTMLParser):
             self.ld = []
         if tag == "meta" and a.get("property") == "og:site_name" and not self.site:
             self.site = a.get("content", "").strip()
+        self.pushed(tag, a)
+        if tag in _VOID:
+            return
         region = "main" if tag == "main" else "role" if tag == "div" and a.get("role") == "main" else "content" if tag == "div" and a.get("id") == "content" else "article" if tag == "article" else None
-        if tag not in _VOID:
-            self.open.append((tag, region))
+        self.places[tag].append(len(self.open))
+        self.open.append((tag, region))
+        self._count(tag, region, 1)
 
     def handle_endtag(self, tag):
         if tag == "script" and self.ld is not None:
             self.jsonld.append("".join(self.ld).strip())
             self.ld = None
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self.read |= {tag} - ({"title"} if any(t == "svg" for t, _ in self.open) else set())
-                del self.open[i:]
-                break
+        if self.places[tag]:
+            self._close_from(self.places[tag][-1])
+
+    def close(self):
+        super().close()
+        self._close_from(0)
 
     def handle_data(self, data):
         if self.ld is not None:
             self.ld.append(data)
-        tags = [t for t, _ in self.open]
-        if "title" in tags and "svg" not in tags:
-            self.titles += [] if "title" in self.read else [data]
-        elif not _SKIP.intersection(tags):
-            if "h1" in tags and "h1" not in self.read:
+        if self.is_open("title") and not self.is_open("svg"):
+            if "title" not in self.read:
+                self.titles.append(data)
+        elif not self.inside["skip"]:
+            if self.is_open("h1") and "h1" not in self.read:
                 self.h1.append(data)
-            self.text.append((data, {r for _, r in self.open if r}, bool(_CHROME.intersection(tags))))
+            self.text.append((data, self.regions, self.inside["chrome"] > 0))
 
 
 def one_line(parts: list[str]) -> str:
@@ -74,7 +132,7 @@ def one_line(parts: list[str]) -> str:
 def main_region(parts: list[tuple]) -> list:
     """Those items of (item, regions, in chrome) that stand in a page's main region: its first kind there
     is, else the page without its chrome, else all of it."""
-    for region in ("main", "role", "content", "article"):
+    for region in _REGIONS:
         if any(region in regions for _, regions, _ in parts):
             return [x for x, regions, _ in parts if region in regions]
     return [x for x, _, chrome in parts if not chrome]
