@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,14 +31,37 @@ def similarity(a: Column, b: Column) -> Column:
     return F.try_divide(both.cast("double"), F.size(a) + F.size(b) - both)
 
 
-def strict_word_similarity(keyword: str, title: Column) -> Column:
-    """The largest similarity of the keyword to a run of whole words of the title. Runs are
-    at most one word longer than the keyword."""
-    words = tokens(title)
-    widest = len(keyword.split()) + 1
-    key = trigrams(F.lit(keyword))
-    runs = F.flatten(F.transform(words, lambda w, i: F.transform(F.sequence(F.lit(1), F.lit(widest)), lambda n: F.array_join(F.slice(words, i + 1, n), " "))))
-    return F.coalesce(F.array_max(F.transform(F.array_distinct(runs), lambda r: similarity(key, trigrams(r)))), F.lit(0.0))
+def keyword_trigrams(keyword: str) -> list[str]:
+    words = re.findall(r"[^\W_]+", keyword.lower())
+    return sorted({("  " + w + " ")[i : i + 3] for w in words for i in range(len(w) + 1)})
+
+
+def strict_word_similarity(keyword: str, title: Column, least: float = K.FUZZY_THRESHOLD) -> Column:
+    """The largest similarity of the keyword to a run of whole words of the title, of any length; exact
+    where it is ``least`` or more, else 0 or an understatement.
+
+    The best run starts with a word that shares a trigram with the keyword, as any other start would only add to
+    what the two do not share. A run grows word by word until it has so many trigrams that the keyword's are
+    fewer than ``least`` of them; from there on no longer run can do."""
+    own = keyword_trigrams(keyword)
+    if not own:
+        return F.lit(0.0)
+    key, most = F.array(*[F.lit(g) for g in own]), int(len(own) / least)
+    word_grams = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))))
+    nothing = F.struct(F.array().cast("array<string>").alias("grams"), F.lit(0.0).alias("best"))
+
+    def grown(run: Column, grams: Column) -> Column:
+        union = F.array_union(run["grams"], grams)
+        both = F.size(F.array_intersect(union, key))
+        similar = both.cast("double") / (F.size(union) + len(own) - both)
+        return F.when(F.size(run["grams"]) > most, run).otherwise(F.struct(union.alias("grams"), F.greatest(run["best"], similar).alias("best")))
+
+    def of_words(words: Column) -> Column:
+        runs = F.transform(words, lambda w, i: F.when(F.arrays_overlap(w, key), F.aggregate(F.slice(words, i + 1, F.size(words) - i), nothing, grown, lambda run: run["best"])))
+        return F.coalesce(F.array_max(runs), F.lit(0.0))
+
+    # Bound once: a plain alias would be copied into the lambdas.
+    return F.get(F.transform(F.array(F.transform(tokens(title), word_grams)), of_words), F.lit(0))
 
 
 def work_arrangement(value: Column) -> Column:
@@ -71,12 +96,35 @@ def relative_time(seconds: Column) -> Column:
     """How long ago, in the largest whole unit."""
     out = F.when(seconds < 5, "just now")
     for limit, unit, name in ((60, 1, "sec"), (3600, 60, "min"), (86400, 3600, "hr"), (2592000, 86400, "day"), (31536000, 2592000, "mo")):
-        out = out.when(seconds < limit, F.concat(F.floor(seconds / unit).cast("string"), F.lit(f" {name} ago")))
-    return out.otherwise(F.concat(F.floor(seconds / 31536000).cast("string"), F.lit(" yr ago")))
+        out = out.when(seconds < limit, _ago(seconds, unit, name))
+    return F.when(seconds.isNull(), "—").otherwise(out.otherwise(_ago(seconds, 31536000, "yr")))
 
 
-def round_half_up(x: Column, digits: int = 4) -> Column:
-    return F.round(x, digits)
+def _ago(seconds: Column, unit: int, name: str) -> Column:
+    n = F.floor(seconds / unit)
+    return F.concat(n.cast("string"), F.when(n == 1, f" {name} ago").otherwise(f" {name}s ago"))
+
+
+def pretty_url(url: Column) -> Column:
+    """A URL without its scheme and one closing slash."""
+    return F.regexp_replace(F.regexp_replace(url, "^https?://", ""), "/$", "")
+
+
+def host_of(url: Column) -> Column:
+    """The host with its port; of what is no URL, what stands before the first slash."""
+    host = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1), "^.*@", "")
+    return F.when(host != "", F.lower(host)).otherwise(F.substring_index(pretty_url(url), "/", 1))
+
+
+def sparkline(series: Column, width: float, height: float, pad: float = 6.0) -> Column:
+    """Points ``x,y`` of a series of numbers in a box, with one decimal: the largest at the top, a flat or empty
+    series in the middle, a single number as a line."""
+    low, high, n = F.array_min(series), F.array_max(series), F.size(series)
+    one = lambda x: F.format_string("%.1f", F.round(x.cast("double"), 1))
+    y = lambda v: F.when(high == low, F.lit(height / 2)).otherwise(height - pad - (v - low) / (high - low) * (height - 2 * pad))
+    points = F.transform(series, lambda v, i: F.concat(one(i / F.greatest(n - 1, F.lit(1)) * width), F.lit(","), one(y(v))))
+    flat = lambda v: F.array(F.concat(F.lit("0,"), one(v)), F.concat(F.lit(f"{width:g},"), one(v)))
+    return F.array_join(F.when(F.coalesce(n, F.lit(0)) <= 0, flat(F.lit(height / 2))).when(n == 1, flat(y(F.get(series, F.lit(0))))).otherwise(points), " ")
 
 
 def vocabulary_groups(body: Column, groups: list[list[str]] = K.VOCABULARY_GROUPS) -> Column:
@@ -87,6 +135,9 @@ def vocabulary_groups(body: Column, groups: list[list[str]] = K.VOCABULARY_GROUP
 
 def contains_word(text: Column, word: str) -> Column:
     """Whether the text has the word between ASCII word boundaries, in any case."""
-    import re
+    return F.lit(False) if not word else text.rlike(rf"(?i)(?<![0-9A-Za-z_]){re.escape(word)}(?![0-9A-Za-z_])")
+
 
-    return text.rlike(rf"(?i)(?<![0-9A-Za-z_]){re.escape(word)}(?![0-9A-Za-z_])")
+def contains_text(text: Column, part: str) -> Column:
+    """Whether the text has the part, in any case; an empty part is in none."""
+    return F.contains(F.lower(text), F.lit(part.lower())) if part else F.lit(False)

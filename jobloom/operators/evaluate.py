@@ -80,12 +80,18 @@ def growth(rows: DataFrame, ts: str, end: Column, max_points: int) -> DataFrame:
 
 
 def ledger_audit(observed: DataFrame, ledger: DataFrame) -> DataFrame:
-    """(url, finding) of observed drops (url, rung) against a ledger (url, rung, reason)."""
-    l = ledger.groupBy("url").agg(F.count("*").alias("n"), F.max("rung").alias("l_rung"), F.max("reason").alias("reason"))  # noqa: E741
-    j = observed.select("url", "rung", F.lit(True).alias("seen")).join(l, "url", "full")
-    finding = (F.when(F.col("n").isNull(), "unrecorded").when(F.col("seen").isNull(), "recovered").when(F.col("n") > 1, "duplicated")
-        .when(F.col("rung") != F.col("l_rung"), "misattributed").when(F.coalesce("reason", F.lit("")) == "", "unargued").otherwise("standing"))
-    return j.select("url", finding.alias("finding"))
+    """(url, finding) of observed drops (url, rung, confirmed) against a ledger (url, rung, confirmed, reason, seq),
+    of whose entries of one URL the first by seq holds. A URL may have several findings: a drop is unrecorded, or its entry
+    names another rung (misattributed) or another standing (restanding); an entry has no reason (unargued), stands twice
+    (duplicated), or is no drop any more (recovered); without any finding it is standing."""
+    entry = ledger.groupBy("url").agg(F.count("*").alias("n"), F.min(F.struct("seq", F.col("rung").alias("l_rung"), F.col("confirmed").alias("l_confirmed"), F.coalesce("reason", F.lit("")).alias("reason"))).alias("l"))
+    j = observed.select("url", "rung", "confirmed", F.lit(True).alias("seen")).join(entry.select("url", "n", "l.l_rung", "l.l_confirmed", "l.reason"), "url", "full")
+    seen, known = F.col("seen").isNotNull(), F.col("n").isNotNull()
+    found = F.array(
+        F.when(~known, "unrecorded"), F.when(~seen, "recovered"), F.when(seen & known & (F.col("rung") != F.col("l_rung")), "misattributed"),
+        F.when(seen & known & (F.col("confirmed") != F.col("l_confirmed")), "restanding"), F.when(known & (F.col("reason") == ""), "unargued"), F.when(F.col("n") > 1, "duplicated"))
+    found = F.array_compact(found)
+    return j.select("url", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("standing")))).alias("finding"))
 
 
 def histogram_quantile(buckets: DataFrame, q: float, by: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.functions import constants as K
+from jobloom.functions.identity import with_once
 from jobloom.functions.text import strict_word_similarity, tokens
 
 TITLE_WEIGHT, BODY_WEIGHT = 1.0, 0.4
@@ -26,6 +27,29 @@ class ListingQuery:
     offset: int = 0
 
 
+def of_saved_search(saved: dict, include_closed: bool = False) -> ListingQuery:
+    """The query of a saved search (keywords, countries, work_arrangements): its facets, the default order and page."""
+    return ListingQuery(list(saved.get("keywords") or []), list(saved.get("countries") or []), list(saved.get("work_arrangements") or []), include_closed)
+
+
+def valid_saved_search(name: str, countries: list[str], arrangements: list[str]) -> dict:
+    """Facets of a saved search as they are stored; a blank name, a country that is not two letters and an
+    arrangement that is not one of four are errors."""
+    if not name.strip():
+        raise ValueError("a saved search needs a name")
+    countries, arrangements = [c.strip().upper() for c in countries], [a.strip().lower() for a in arrangements]
+    if bad := [c for c in countries if not re.fullmatch("[A-Z]{2}", c)]:
+        raise ValueError(f"countries are two letters, not {bad}")
+    if bad := [a for a in arrangements if a not in K.ARRANGEMENTS]:
+        raise ValueError(f"unknown work arrangements {bad}")
+    return {"name": name.strip(), "countries": countries, "work_arrangements": arrangements}
+
+
+def recent_limit(limit: int | None) -> int:
+    """How many rows the recent feed shows: as asked from 1 to the most, the default without a wish."""
+    return K.RECENT_LIMIT if limit is None else max(1, min(limit, K.RECENT_MAX))
+
+
 def _terms(keyword: str) -> list[tuple[bool, list[str]]]:
     """(negated, words) of each term; words in quotes are one phrase."""
     out = []
@@ -85,7 +109,7 @@ def search_listings(corpus: DataFrame, q: ListingQuery) -> DataFrame:
     rows = rows.withColumn("rank", F.lit(0.0))
     if keywords:
         title, body = tokens(F.coalesce("title", F.lit(""))), tokens(F.coalesce("description", F.lit("")))
-        rows = rows.withColumn("title_toks", title).withColumn("body_toks", body)
+        rows = with_once(rows, title_toks=title, body_toks=body)
         exact = F.lit(True)
         for k in keywords:
             hit = keyword_match(k, F.col("title_toks"), F.col("body_toks"))

@@ -17,19 +17,18 @@ def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 def upsert_listings(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     """Listings saved again are refreshed, opened, and seen now; first_seen and depth stay.
 
-    Both have canonical_url, title, description, source, discovered_depth; ``new`` also seq,
+    ``new`` has the columns of ``old`` but for first_seen, last_seen, closed_at and inconclusive_streak, and seq,
     by which the last of several rows of one listing holds."""
     new = latest(new, ["canonical_url"], F.desc("seq")).drop("seq").withColumn("in_new", F.lit(True))
-    o, n = old.alias("o"), new.alias("n")
-    is_new = F.col("n.in_new").isNotNull()
-    pick = lambda c: F.when(is_new, F.col("n." + c)).otherwise(F.col("o." + c)).alias(c)
-    kept = F.when(F.col("o.canonical_url").isNotNull(), F.col("o.discovered_depth"))
-    fresh = F.when(F.col("n.source") == "crawl", F.col("n.discovered_depth"))
-    return o.join(n, F.col("o.canonical_url") == F.col("n.canonical_url"), "full").select(
-        F.coalesce("o.canonical_url", "n.canonical_url").alias("canonical_url"), pick("title"), pick("description"), pick("source"),
-        F.when(F.col("o.canonical_url").isNotNull(), kept).otherwise(fresh).alias("discovered_depth"),
-        F.coalesce("o.first_seen", now).alias("first_seen"), F.when(is_new, now).otherwise(F.col("o.last_seen")).alias("last_seen"),
-        F.when(~is_new, F.col("o.closed_at")).alias("closed_at"), F.when(is_new, 0).otherwise(F.col("o.inconclusive_streak")).alias("inconclusive_streak"))
+    o, n = old.withColumn("in_old", F.lit(True)).alias("o"), new.alias("n")
+    is_new, is_old = F.col("n.in_new").isNotNull(), F.col("o.in_old").isNotNull()
+    own = {
+        "canonical_url": F.coalesce("o.canonical_url", "n.canonical_url"),
+        "discovered_depth": F.when(is_old, F.col("o.discovered_depth")).otherwise(F.when(F.col("n.source") == "crawl", F.col("n.discovered_depth"))),
+        "first_seen": F.coalesce("o.first_seen", now), "last_seen": F.when(is_new, now).otherwise(F.col("o.last_seen")),
+        "closed_at": F.when(~is_new, F.col("o.closed_at")), "inconclusive_streak": F.when(is_new, 0).otherwise(F.col("o.inconclusive_streak"))}
+    pick = lambda c: F.when(is_new, F.col("n." + c)).otherwise(F.col("o." + c))
+    return o.join(n, F.col("o.canonical_url") == F.col("n.canonical_url"), "full").select(*[(own[c] if c in own else pick(c)).alias(c) for c in old.columns])
 
 
 def merge_companies(old: DataFrame, file: DataFrame) -> DataFrame:
@@ -46,22 +45,50 @@ def merge_companies(old: DataFrame, file: DataFrame) -> DataFrame:
         F.when(F.col("f.company_key").isNull(), F.col("o.first_seen")).otherwise(least).alias("first_seen"), F.greatest("o.last_seen", "f.last_seen").alias("last_seen"))
 
 
-def close_absent(listings: DataFrame, page: str, watermark: Column, now: Column, complete: bool = True) -> DataFrame:
-    """Close the open feed listings of a page that a complete reading has not seen since."""
-    gone = F.lit(complete) & (F.col("career_page_id") == page) & (F.col("source") == "ats") & F.col("closed_at").isNull() & (F.col("last_seen") < watermark)
-    return listings.withColumn("closed_at", F.when(gone, now).otherwise(F.col("closed_at")))
+def close_absent(listings: DataFrame, boards: DataFrame, watermark: Column, now: Column) -> DataFrame:
+    """Close the open feed listings of pages that a complete reading has not seen since. ``boards``
+    (career_page_id, complete) has all pages that were read; one of several readings that is incomplete closes nothing."""
+    whole = boards.groupBy("career_page_id").agg(F.bool_and("complete").alias("whole_"))
+    gone = F.col("whole_") & (F.col("source") == "ats") & F.col("closed_at").isNull() & (F.col("last_seen") < watermark)
+    joined = listings.join(whole, "career_page_id", "left")
+    return joined.withColumn("closed_at", F.when(gone, now).otherwise(F.col("closed_at"))).select(listings.columns)
 
 
 def attribute_by_prefix(postings: DataFrame, pages: DataFrame) -> DataFrame:
-    """(posting_url, page_url): of the pages of the posting's company that whose URL is the
-    longest prefix of it up to a path boundary; without any, the first by ``pos``."""
-    from jobloom.functions.urls import has_path_prefix
-
-    rows = postings.join(pages, "company_key", "left")
-    fits = F.coalesce(has_path_prefix(F.col("posting_url"), F.col("page_url")), F.lit(False))
-    # Smallest first: fitting, long, early.
-    best = F.min(F.when(F.col("page_url").isNotNull(), F.struct((~fits).alias("a"), F.when(fits, -F.length("page_url")).otherwise(0).alias("b"), F.col("pos").alias("c"), F.col("page_url").alias("page_url"))))
-    return rows.groupBy("company_key", "posting_url").agg(best["page_url"].alias("page_url"))
+    """(company_key, posting_url, page_url): of the pages of the posting's company that whose URL is the
+    longest prefix of it up to a path boundary; without any, the first by ``pos``.
+
+    A posting has few prefixes that end at a boundary, however many pages its company has: each becomes a row and is
+    joined by equality, so the work is that of the postings, not of postings times pages."""
+    url = F.col("posting_url")
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(url), F.lit(1))), lambda i: (i == F.length(url)) | (F.substring(url, i, F.lit(1)) == "/") | (F.substring(url, i + 1, F.lit(1)) == "/"))
+    prefixes = postings.select("company_key", "posting_url", F.explode_outer(F.array_distinct(F.transform(at, lambda i: F.substring(url, F.lit(1), i)))).alias("page_url"))
+    first = pages.groupBy("company_key", "page_url").agg(F.min("pos").alias("pos"))
+    hits = prefixes.join(first.select("company_key", "page_url"), ["company_key", "page_url"]).groupBy("company_key", "posting_url").agg(F.max_by("page_url", F.length("page_url")).alias("page_url"))
+    default = pages.groupBy("company_key").agg(F.min(F.struct("pos", "page_url"))["page_url"].alias("default_"))
+    rows = postings.select("company_key", "posting_url").distinct().join(hits, ["company_key", "posting_url"], "left").join(default, "company_key", "left")
+    return rows.select("company_key", "posting_url", F.coalesce("page_url", "default_").alias("page_url"))
+
+
+#: Times are folded into spans of this length first, so that a much-probed key is many small groups.
+FOLD_SECONDS = 3600
+
+
+def _since_last(probes: DataFrame, resets: Column, counted: Column) -> DataFrame:
+    """(key, last, n, n_all): the last probe (at, outcome) that resets, and how many counted probes came after it.
+
+    Probes are shuffled once, by key and span of time: each span is reduced to its own last reset and what
+    came after that, and the few rows of spans then to those of keys."""
+    seconds = F.unix_seconds(F.col("at").cast("timestamp")) if dict(probes.dtypes)["at"].startswith("timestamp") else F.col("at").cast("long")
+    span = F.floor(seconds / FOLD_SECONDS)
+    rows = probes.select("key", span.alias("span"), "at", "outcome", resets.alias("resets"), counted.alias("counted"))
+    at = rows.groupBy("key", "span", "at").agg(F.max(F.when(F.col("resets"), F.struct("at", "outcome"))).alias("last"), F.count_if("counted").alias("n"))
+    parts = at.groupBy("key", "span").agg(F.max("last").alias("last"), F.collect_list(F.struct("at", "n")).alias("ns"))
+    after = lambda xs, last: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + F.when(last.isNull() | (x["at"] > last["at"]), x["n"]).otherwise(0))
+    parts = parts.select("key", "span", "last", after(F.col("ns"), F.col("last")).alias("n"))
+    spans = parts.groupBy("key").agg(F.max("last").alias("last"), F.max(F.when(F.col("last").isNotNull(), F.col("span"))).alias("last_span"), F.collect_list(F.struct("span", "n")).alias("ns"))
+    n = F.aggregate("ns", F.lit(0).cast("long"), lambda a, x: a + F.when(F.col("last_span").isNull() | (x["span"] >= F.col("last_span")), x["n"]).otherwise(0))
+    return spans.select("key", "last", n.alias("n"))
 
 
 def fold_liveness(probes: DataFrame, threshold: int = K.LIVENESS_THRESHOLD) -> DataFrame:
@@ -69,25 +96,19 @@ def fold_liveness(probes: DataFrame, threshold: int = K.LIVENESS_THRESHOLD) -> D
 
     Alive opens and resets; dead closes and resets if the reading was complete; the others
     count, and close at the threshold unless that is not positive. Only the last probe that
-    resets and the number of inconclusive ones after it matter; both come from
-    aggregations with partial results before the shuffle, so a much-probed key is no hot spot."""
-    reset = (F.col("outcome") == "alive") | ((F.col("outcome") == "dead") & F.col("complete"))
-    last = probes.groupBy("key").agg(F.max(F.when(reset, F.struct("at", "outcome"))).alias("last"))
-    since = F.col("last").isNull() | (F.col("at") > F.col("last.at"))
-    streak = F.count_if(since & (F.col("outcome") == "inconclusive"))
-    done = probes.join(last, "key").groupBy("key").agg(F.coalesce(F.max((F.col("last.outcome") == "alive").cast("int")), F.lit(1)).alias("was_open"), streak.alias("streak"))
-    crossed = F.lit(threshold > 0) & (F.col("streak") >= threshold)
-    return done.select("key", ((F.col("was_open") == 1) & ~crossed).alias("open"), F.col("streak").cast("long").alias("streak"))
+    resets and the number of inconclusive ones after it matter; of probes at one time those that reset come last."""
+    # Of equal times alive is decided last, by its name.
+    reset = (F.col("outcome") == "z alive") | ((F.col("outcome") == "dead") & F.col("complete"))
+    ranked = probes.withColumn("outcome", F.when(F.col("outcome") == "alive", "z alive").otherwise(F.col("outcome")))
+    done = _since_last(ranked, F.coalesce(reset, F.lit(False)), F.col("outcome") == "inconclusive")
+    crossed = F.lit(threshold > 0) & (F.col("n") >= threshold)
+    return done.select("key", ((F.col("last").isNull() | (F.col("last.outcome") == "z alive")) & ~crossed).alias("open"), F.col("n").alias("streak"))
 
 
 def fold_dormancy(probes: DataFrame, threshold: int = K.DORMANCY_THRESHOLD) -> DataFrame:
     """(key, failures, last_ok, dormant): dead probes since the last alive one."""
-    ok = F.col("outcome") == "alive"
-    last = probes.groupBy("key").agg(F.max(F.when(ok, F.col("at"))).alias("last_ok"))
-    since = probes.join(last, "key").filter("last_ok IS NULL OR at > last_ok")
-    failures = since.groupBy("key").agg(F.count_if(F.col("outcome") == "dead").alias("failures"))
-    n = F.coalesce("failures", F.lit(0)).cast("long")
-    return last.join(failures, "key", "left").select("key", n.alias("failures"), "last_ok", (F.lit(threshold > 0) & (n >= threshold)).alias("dormant"))
+    done = _since_last(probes, F.col("outcome") == "alive", F.col("outcome") == "dead")
+    return done.select("key", F.col("n").alias("failures"), F.col("last.at").alias("last_ok"), (F.lit(threshold > 0) & (F.col("n") >= threshold)).alias("dormant"))
 
 
 def insert_or_arbitrate(existing: DataFrame, submitted: DataFrame) -> DataFrame:

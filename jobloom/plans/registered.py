@@ -246,10 +246,12 @@ def merge_import(spark, d):
     return state.merge_companies(old, file).drop("website")
 
 
-@query(f"""SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' THEN l_shipdate WHEN l_suppkey = 3 AND l_linestatus = 'O' AND l_shipdate < TIMESTAMP '1997-01-01' THEN TIMESTAMP '{NOW}' END AS closed_at FROM lineitem""")
+@query(f"""SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' THEN l_shipdate WHEN s_nationkey < 12 AND l_linestatus = 'O' AND l_shipdate < TIMESTAMP '1997-01-01' THEN TIMESTAMP '{NOW}' END AS closed_at
+FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey""")
 def close_absent(spark, d):
-    li = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").cast("string").alias("career_page_id"), F.when(F.col("l_linestatus") == "O", "ats").otherwise("crawl").alias("source"), F.when(F.col("l_returnflag") == "N", F.col("l_shipdate")).alias("closed_at"), F.col("l_shipdate").alias("last_seen"))
-    return state.close_absent(li, "3", _ts("1997-01-01"), _ts(NOW)).select("l_orderkey", "l_linenumber", "closed_at")
+    li = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("career_page_id"), F.when(F.col("l_linestatus") == "O", "ats").otherwise("crawl").alias("source"), F.when(F.col("l_returnflag") == "N", F.col("l_shipdate")).alias("closed_at"), F.col("l_shipdate").alias("last_seen"))
+    boards = t(spark, d, "supplier").select(F.col("s_suppkey").alias("career_page_id"), (F.col("s_nationkey") < 12).alias("complete"))
+    return state.close_absent(li, boards, _ts("1997-01-01"), _ts(NOW)).select("l_orderkey", "l_linenumber", "closed_at")
 
 
 def probes(spark: SparkSession, d: str) -> DataFrame:
@@ -373,9 +375,9 @@ def violation_diff(spark, d):
     return only(a, b, "a").unionByName(only(b, a, "b"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT sha256(left(text, 8000))) AS distinct_texts, round(1 - count(DISTINCT sha256(left(text, 8000))) / count(*), 4) AS dup_ratio FROM documents")
+@query("SELECT count(*) AS n, count(DISTINCT sha256(text)) AS distinct_texts, round(1 - count(DISTINCT sha256(text)) / count(*), 4) AS dup_ratio FROM documents")
 def dup_ratio(spark, d):
-    h = t(spark, d, "documents").select(text.source_hash(F.col("text")).alias("h"))
+    h = t(spark, d, "documents").select(F.sha2("text", 256).alias("h"))
     g = h.groupBy("h").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.count("h").alias("distinct_texts"))
     return g.select("n", "distinct_texts", F.round(1 - F.col("distinct_texts") / F.col("n"), 4).alias("dup_ratio"))
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter, defaultdict
+from html import unescape
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -164,10 +165,18 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInArrow(parsed, "page_id long, url string, " + CONTENT)
 
 
+_TAG = re.compile("<[^>]*>")
+
+
+def plain(text: str) -> str:
+    """Text of what may be markup, escaped or not, as :func:`jobloom.functions.markup.encoded_somehow`."""
+    return " ".join(_TAG.sub(" ", unescape(_TAG.sub(" ", text))).split())
+
+
 def _text(x) -> str:
-    """The first non-empty string of a string, an object's name, or a list of these."""
+    """The first non-empty text of a string, an object's name, or a list of these."""
     if isinstance(x, str):
-        return x.strip()
+        return plain(x)
     if isinstance(x, dict):
         return _text(x.get("name"))
     if isinstance(x, list):
@@ -175,6 +184,22 @@ def _text(x) -> str:
     return ""
 
 
+def _place(x) -> tuple[str, str]:
+    """(location, country) of a place, an address, its text, or the first of a list of these that says any."""
+    if isinstance(x, list):
+        return next((p for p in map(_place, x) if p[0]), ("", ""))
+    return _address(x.get("address")) if isinstance(x, dict) else ("", "")
+
+
+def _address(x) -> tuple[str, str]:
+    if isinstance(x, list):
+        return next((a for a in map(_address, x) if a[0]), ("", ""))
+    if isinstance(x, dict):
+        parts = [_text(x.get(k)) for k in ("addressLocality", "addressRegion", "addressCountry")]
+        return ", ".join(p for p in parts if p), parts[2]
+    return (plain(x), "") if isinstance(x, str) else ("", "")
+
+
 def _is_type(node: dict, name: str) -> bool:
     kinds = node.get("@type")
     return any(isinstance(k, str) and k.lower() == name for k in (kinds if isinstance(kinds, list) else [kinds]))
@@ -188,7 +213,7 @@ def scan_jsonld(blocks: list[str]) -> dict:
     for b in blocks or []:
         try:
             stack.append((json.loads(b), False))
-        except ValueError:
+        except (ValueError, RecursionError):
             continue
     stack.reverse()
     while stack:
@@ -202,14 +227,11 @@ def scan_jsonld(blocks: list[str]) -> dict:
                 in_list = in_list or listed
             stack += [(v, listed) for v in reversed(list(node.values())) if isinstance(v, (dict, list))]
     first = postings[0] if postings else {}
-    place = first.get("jobLocation")
-    place = place[0] if isinstance(place, list) and place else place
-    address = place.get("address") if isinstance(place, dict) else None
-    address = address if isinstance(address, dict) else {}
-    parts = [_text(address.get(k)) for k in ("addressLocality", "addressRegion", "addressCountry")]
+    location, country = _place(first.get("jobLocation"))
+    said, kind = first.get("description"), first.get("jobLocationType")
     return {
-        "postings": len(postings), "in_list": in_list, "title": _text(first.get("title")), "location": ", ".join(p for p in parts if p), "country": parts[2],
-        "description": _text(first.get("description")), "remote": _text(first.get("jobLocationType")).lower() == "telecommute",
+        "postings": len(postings), "in_list": in_list, "title": _text(first.get("title")), "location": location, "country": country, "description": plain(said) if isinstance(said, str) else "",
+        "remote": any(isinstance(k, str) and "telecommute" in k.lower() for k in (kind if isinstance(kind, list) else [kind])),
     }
 
 

@@ -42,7 +42,7 @@ def test_text_scalars(spark):
     assert one(spark, text.fold(F.lit("MÜNCHEN Straße"))) == "munchen strasse"
     assert one(spark, text.work_arrangement(F.lit("On-Site"))) == "onsite" and one(spark, text.work_arrangement(F.lit("?"))) == "unspecified"
     assert one(spark, text.initial(F.lit("Örtel"))) == "O" and one(spark, text.initial(F.lit("3M"))) == "0-9"
-    assert [one(spark, text.relative_time(F.lit(s))) for s in (4, 59, 7300)] == ["just now", "59 sec ago", "2 hr ago"]
+    assert [one(spark, text.relative_time(F.lit(s))) for s in (4, 59, 7300)] == ["just now", "59 secs ago", "2 hrs ago"]
     assert one(spark, text.contains_word(F.lit("für Job"), "job")) and not one(spark, text.contains_word(F.lit("jobs"), "job"))
 
 
