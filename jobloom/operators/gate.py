@@ -20,6 +20,23 @@ def chain(*checks: tuple[str, Column]) -> Column:
     return out.otherwise(True) if out is not None else F.lit(True)
 
 
+def every(*checks: Column) -> Column:
+    """Whether all checks pass; none at all pass too."""
+    out = F.lit(True)
+    for c in checks:
+        out = out & F.coalesce(c, F.lit(False))
+    return out
+
+
+def reject() -> Column:
+    return F.lit(True)
+
+
+def content_filter(title: Column, body: Column, title_checks: list, body_checks: list) -> Column:
+    """Whether a page's title and text each pass all their checks, which are functions of a column."""
+    return every(*[c(title) for c in title_checks], *[c(body) for c in body_checks])
+
+
 def url_filter(url: Column, blocked_segments: list[str], blocked_subdomains: list[str], blocked_extensions: list[str], blocked_hosts: list[str], blocked_params: list[str]) -> Column:
     """Invalid, TLD, passing subdomain and segment, then the blocks, in this order."""
     labels = F.split(urls.host(url), r"\.")

@@ -352,20 +352,6 @@ def cap_corrected_prefix(spark, d):
     return evaluate.corrected_prefix(t(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id", F.col("event_type") != "error").select("user_id", "event_id")
 
 
-@query("""WITH o AS (SELECT doc_id AS url, lang AS rung FROM documents WHERE lang <> 'de'), l AS (
-  SELECT doc_id AS url, CASE WHEN doc_id % 5 = 0 THEN 'xx' ELSE lang END AS rung, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'why' END AS reason FROM documents WHERE lang <> 'fr'
-  UNION ALL SELECT doc_id, lang, 'again' FROM documents WHERE source = 'src1'),
-g AS (SELECT url, count(*) AS n, max(rung) AS lr, max(reason) AS reason FROM l GROUP BY 1)
-SELECT coalesce(o.url, g.url) AS url, CASE WHEN n IS NULL THEN 'unrecorded' WHEN o.url IS NULL THEN 'recovered' WHEN n > 1 THEN 'duplicated' WHEN rung <> lr THEN 'misattributed' WHEN coalesce(reason, '') = '' THEN 'unargued' ELSE 'standing' END AS finding
-FROM o FULL JOIN g ON o.url = g.url""")
-def ledger_audit(spark, d):
-    doc = t(spark, d, "documents").select(F.col("doc_id").alias("url"), F.col("lang").alias("rung"), "source")
-    u = F.col("url")
-    first = doc.filter("rung <> 'fr'").select("url", F.when(u % 5 == 0, "xx").otherwise(F.col("rung")).alias("rung"), F.when(u % 7 == 0, "").otherwise("why").alias("reason"))
-    again = doc.filter("source = 'src1'").select("url", "rung", F.lit("again").alias("reason"))
-    return evaluate.ledger_audit(doc.filter("rung <> 'de'").drop("source"), first.unionByName(again))
-
-
 @query("""SELECT 'a' AS side, doc_id, lang FROM documents a WHERE lang <> 'de' AND NOT EXISTS (SELECT 1 FROM documents b WHERE b.lang <> 'fr' AND b.doc_id = a.doc_id)
 UNION ALL SELECT 'b', doc_id, lang FROM documents a WHERE lang <> 'fr' AND NOT EXISTS (SELECT 1 FROM documents b WHERE b.lang <> 'de' AND b.doc_id = a.doc_id)""")
 def violation_diff(spark, d):
@@ -482,16 +468,6 @@ def page_content(spark, d):
     return parse_pages(t(spark, d, "pages")).select("page_id", "title", F.size("urls").cast("long").alias("n_links"))
 
 
-@query()
-def page_gate(spark, d):
-    from jobloom.sources.html import parse_pages
-
-    p = parse_pages(t(spark, d, "pages"))
-    links = F.size(F.array_distinct(F.filter("urls", lambda u: gate.posting_url(F.concat(F.lit("https://x.org"), u)))))
-    verdict = gate.gate(F.col("url"), F.col("title"), links, F.lit(False), F.lit(False))
-    return p.select("page_id", verdict.alias("gate"), gate.is_hub_or_root(F.col("url")).alias("hub"), gate.positive_evidence(F.col("url"), F.col("title"), F.col("main_content"), F.lit(False)).alias("evidence"))
-
-
 @query("SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def latest_per_key(spark, d):
     return state.latest(t(spark, d, "events").select("event_id", "user_id", "event_type", "ts"), ["user_id"], F.desc("ts"), F.desc("event_id")).drop("ts")

@@ -5,33 +5,62 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from jobloom.functions import constants as K
+from jobloom.functions.identity import hostname
 from jobloom.functions.urls import frontier_url
+from jobloom.operators import frontier
 
 
-def frontier_intake(urls: DataFrame, max_depth: int = 3) -> DataFrame:
-    """New URLs of a stream (url, depth) within the depth; each once, by its frontier form."""
-    return urls.filter(F.col("depth") <= max_depth).withColumn("url", frontier_url(F.col("url"))).dropDuplicates(["url"])
+def frontier_urls(urls: DataFrame, max_depth: int = 3) -> DataFrame:
+    """URLs of a table or stream (url, depth) within the depth, in their frontier form, with their host."""
+    rows = urls.filter(F.col("depth") <= max_depth).withColumn("url", frontier_url(F.col("url")))
+    return rows.withColumn("host", hostname(F.col("url")))
+
+
+def start_intake(urls: DataFrame, folder: str, checkpoint: str, cap: int = K.VISITED_CAP, max_depth: int = 3) -> StreamingQuery:
+    """A stream of URLs (url, depth, seq) into ``folder``: each batch's new URLs under ``admitted``, and what has been seen
+    under ``seen``, the oldest of which is forgotten beyond the cap, so state stays bounded. A batch that is repeated
+    after a failure overwrites its own results. Runs over what there is, then stops."""
+    spark = urls.sparkSession
+    empty = "url string, host string, seq long"
+
+    def take(batch: DataFrame, i: int) -> None:
+        seen = spark.createDataFrame([], empty).drop("host") if i == 0 else spark.read.schema("url string, seq long").parquet(f"{folder}/seen/{i - 1}")
+        after, new = frontier.admit(seen, batch.select("url", "host", "seq").persist(), cap)
+        new.write.mode("overwrite").parquet(f"{folder}/admitted/batch={i}")
+        after.write.mode("overwrite").parquet(f"{folder}/seen/{i}")
+
+    rows = frontier_urls(urls, max_depth)
+    return rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: Of probes at one time, those that settle more come later.
+_WEIGHT = {"inconclusive": 0, "dead": 1, "alive": 2}
+
+
+def folded(state: tuple[bool, int], probes: pd.DataFrame, threshold: int) -> tuple[bool, int]:
+    """(open, streak) after probes (at, outcome, complete): what the last one that resets says, and how many inconclusive
+    ones came after its time. The same as folding a table of them."""
+    rows = probes.assign(weight=probes["outcome"].map(_WEIGHT)).sort_values(["at", "weight"])
+    resets = rows[(rows["outcome"] == "alive") | ((rows["outcome"] == "dead") & rows["complete"])]
+    is_open, streak = state
+    if len(resets):
+        last = resets.iloc[-1]
+        is_open, streak = bool(last["outcome"] == "alive"), 0
+        rows = rows[rows["at"] > last["at"]]
+    streak += int((rows["outcome"] == "inconclusive").sum())
+    return is_open and not 0 < threshold <= streak, streak
 
 
 def liveness_stream(probes: DataFrame, threshold: int = K.LIVENESS_THRESHOLD) -> DataFrame:
     """State (key, open, streak) after each batch of a stream of probes (key, at, outcome, complete)."""
 
     def fold(key, frames, state):
-        is_open, streak = state.get if state.exists else (True, 0)
-        rows = pd.concat(list(frames)).sort_values("at")
-        for outcome, complete in zip(rows["outcome"], rows["complete"], strict=True):
-            if outcome == "alive":
-                is_open, streak = True, 0
-            elif outcome == "dead" and complete:
-                is_open, streak = False, 0
-            elif outcome == "inconclusive":
-                streak += 1
-                if threshold > 0 and streak >= threshold:
-                    is_open = False
-        state.update((is_open, streak))
-        yield pd.DataFrame({"key": [key[0]], "open": [is_open], "streak": [streak]})
+        after = folded(state.get if state.exists else (True, 0), pd.concat(list(frames)), threshold)
+        state.update(after)
+        yield pd.DataFrame({"key": [key[0]], "open": [after[0]], "streak": [after[1]]})
 
     return probes.groupBy("key").applyInPandasWithState(fold, "key long, open boolean, streak long", "open boolean, streak long", "update", "NoTimeout")
 
