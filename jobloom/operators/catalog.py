@@ -50,6 +50,10 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return text.join(blocks, ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "raw")
 
 
+def _says(error: str, value: Column) -> Column:
+    return F.replace(F.lit(K.IMPORT_ERRORS[error]), F.lit("@"), value)
+
+
 def _http(url: Column) -> Column:
     return F.coalesce(url.rlike(r"^(?i:https?)://[^/?#\s]+"), F.lit(False))
 
@@ -70,13 +74,13 @@ def resolve_import(lines: DataFrame) -> DataFrame:
     keys = F.array_sort(F.array_distinct(F.transform("good", lambda p: identity.identify(p["url"])["company_key"])))
     rows = rows.withColumn("keys", keys).withColumn("domain", domain).withColumn("given", F.nullif(F.col("r.companyKey"), F.lit("")))
     by_pages = F.col("given").isNull() & F.col("domain").isNull()
-    page_error = lambda p: F.concat(F.lit('career page url "'), F.coalesce(p["url"], F.lit("")), F.lit('": must be an absolute http(s) url'))
+    page_error = lambda p: _says("page", F.coalesce(p["url"], F.lit("")))
     error = (
-        F.when(F.col("r").isNull() | F.col("r.broken").isNotNull(), "invalid json")
-        .when(site.isNotNull() & ~_http(site), F.concat(F.lit('website "'), site, F.lit('": must be an absolute http(s) url')))
-        .when(by_pages & (F.size("good") + F.size("bad") == 0), "record has no identity: set companyKey, website, or careerPages")
+        F.when(F.col("r").isNull() | F.col("r.broken").isNotNull(), K.IMPORT_ERRORS["json"])
+        .when(site.isNotNull() & ~_http(site), _says("website", site))
+        .when(by_pages & (F.size("good") + F.size("bad") == 0), K.IMPORT_ERRORS["nobody"])
         .when(by_pages & (F.size("bad") > 0), page_error(F.get("bad", 0)))
-        .when(by_pages & (F.size("keys") > 1), F.concat(F.lit("career pages derive multiple companies ("), F.array_join("keys", ", "), F.lit("); split the record or set companyKey")))
+        .when(by_pages & (F.size("keys") > 1), _says("many", F.array_join("keys", ", ")))
     )
     key = F.coalesce("given", "domain", F.get("keys", 0))
     on_board = F.contains(key, F.lit(":"))

@@ -149,11 +149,11 @@ def extract_rung(url: Column, links: Column, embed: Column, openings_index: Colu
     signal = lambda words: F.exists(segs, lambda s: s.isin(words))
     below_jobs = F.exists(F.slice(segs, F.lit(1), F.greatest(F.size(segs) - 1, F.lit(0))), lambda s: s.isin(K.JOB_PATH_SEGMENTS))
     root = (F.size(segs) == 0) | ((F.size(segs) == 1) & urls.is_locale_segment(F.get(segs, F.lit(0))))
-    return (
-        F.when(kind == "career_page", "ats_board_root").when(kind == "job_listing", "").when(root, "bare_or_locale_root")
-        .when(bare.isin(K.TERMINAL_HUB_WORDS + K.INDEX_TERMINALS), "index_terminal").when(signal(K.REJECT_PATH_SIGNALS), "reject_path")
-        .when(~below_jobs & signal(K.CAREER_PATH_SIGNALS), "career_index").when(embed, "ats_embed").when(openings_index, "openings_index")
-        .when(saturation(links, k) >= 1, "job_link_saturation").when(~evidence, "positive_evidence").otherwise(""))
+    held = [
+        kind == "career_page", root, bare.isin(K.TERMINAL_HUB_WORDS + K.INDEX_TERMINALS), signal(K.REJECT_PATH_SIGNALS), ~below_jobs & signal(K.CAREER_PATH_SIGNALS), embed, openings_index,
+        saturation(links, k) >= 1, ~evidence]
+    first = F.coalesce(*[F.when(c, rung) for c, rung in zip(held, K.RUNGS, strict=True)], F.lit(""))
+    return F.when(kind == "job_listing", "").otherwise(first)
 
 
 def withdrawn(body: Column, declared: Column) -> Column:
