@@ -140,14 +140,14 @@ def apply_probes(spark, d):
 
 
 def _probed(spark, d):
-    k = F.col("c_custkey")
-    c = t(spark, d, "customer")
-    pages = c.select(k.alias("page_id"), (k % 6).alias("consecutive_failures"), _ts("2024-01-01").alias("last_ok"))
-    outcome = F.element_at(F.array(*map(F.lit, ["none", "alive", "dead", "inconclusive"])), (k.bitwiseAND(F.lit(3)) + 1).cast("int"))
-    return edits.record_probes(pages, c.filter("c_custkey % 4 <> 0").select(k.alias("page_id"), outcome.alias("outcome")), _ts(NOW))
+    """Customers as pages: as many failures as a fifth of their nation's number; probed by segment."""
+    c, k, segment = t(spark, d, "customer"), F.col("c_custkey"), F.col("c_mktsegment")
+    pages = c.select(k.alias("page_id"), F.floor(F.col("c_nationkey") / 5).alias("consecutive_failures"), _ts("2024-01-01").alias("last_ok"))
+    outcome = F.when(segment == "AUTOMOBILE", "alive").when(segment == "MACHINERY", "dead").otherwise("inconclusive")
+    return edits.record_probes(pages, c.filter(segment != "BUILDING").select(k.alias("page_id"), outcome.alias("outcome")), _ts(NOW))
 
 
-PROBED = f"""c AS (SELECT c_custkey AS page_id, c_custkey % 6 AS n, c_custkey % 4 AS o FROM customer),
+PROBED = f"""c AS (SELECT c_custkey AS page_id, CAST(c_nationkey // 5 AS BIGINT) AS n, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 0 END AS o FROM customer),
 probed AS (SELECT page_id, CASE o WHEN 1 THEN 0 WHEN 2 THEN n + 1 ELSE n END AS consecutive_failures, CASE WHEN o = 1 THEN TIMESTAMP '{NOW}' ELSE TIMESTAMP '2024-01-01' END AS last_ok, o = 2 AND n = 4 AS became_dormant FROM c)"""
 
 
@@ -163,15 +163,15 @@ def close_dormant(spark, d):
 
 
 @query("""SELECT o_orderkey AS canonical_url, CASE WHEN o_orderstatus = 'F' THEN 'new ' || o_orderkey ELSE o_clerk END AS description, CASE WHEN o_orderstatus = 'F' THEN 'jsonld' ELSE 'flattened' END AS description_source,
-  CASE WHEN o_custkey % 5 = 1 THEN o_custkey - 1 ELSE o_custkey END AS career_page_id FROM (SELECT *, o_orderpriority AS o_clerk FROM orders) WHERE o_custkey % 5 <> 2""")
+  CASE WHEN c_mktsegment = 'BUILDING' THEN o_custkey + 1 ELSE o_custkey END AS career_page_id FROM (SELECT *, o_orderpriority AS o_clerk FROM orders) LEFT JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment IS DISTINCT FROM 'MACHINERY'""")
 def listing_edits(spark, d):
     k = F.col("o_orderkey")
     o = t(spark, d, "orders")
     listings = o.select(k.alias("canonical_url"), F.col("o_orderpriority").alias("description"), F.lit("flattened").alias("description_source"), F.col("o_custkey").alias("career_page_id"))
     bodies = o.filter("o_orderstatus = 'F'").select(k.alias("canonical_url"), F.concat(F.lit("new "), k.cast("string")).alias("description"), F.lit("jsonld").alias("description_source"))
-    pages = t(spark, d, "customer").select(F.col("c_custkey").alias("page_id"))
-    moves = pages.filter("page_id % 5 = 1").withColumn("to_page_id", F.col("page_id") - 1)
-    gone = pages.filter("page_id % 5 = 2")
+    pages = t(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), "c_mktsegment")
+    moves = pages.filter("c_mktsegment = 'BUILDING'").withColumn("to_page_id", F.col("page_id") + 1)
+    gone = pages.filter("c_mktsegment = 'MACHINERY'")
     return edits.repoint_listings(edits.delete_listings(edits.update_descriptions(listings, bodies), gone), moves)
 
 
@@ -179,13 +179,13 @@ def listing_edits(spark, d):
 
 
 @query("""WITH h AS (SELECT l_suppkey AS host, min(l_orderkey * 10 + l_linenumber) AS seq FROM lineitem GROUP BY 1),
-e AS (SELECT host, seq, CASE WHEN host % 4 <> 0 THEN TIMESTAMP '2024-05-31 23:00:00' + to_minutes(CAST(host % 90 AS INT)) END AS next_eligible FROM h)
+e AS (SELECT host, seq, CASE WHEN s_nationkey < 18 THEN TIMESTAMP '2024-05-31 23:00:00' + to_minutes(CAST(s_nationkey * 5 AS INT)) END AS next_eligible FROM h LEFT JOIN supplier ON s_suppkey = host)
 SELECT host, 'u' || seq AS url, seq, TIMESTAMP '2024-06-01 00:02:00' AS expires FROM e WHERE next_eligible IS NULL OR next_eligible <= TIMESTAMP '2024-06-01' ORDER BY next_eligible NULLS FIRST, host LIMIT 40""")
 def frontier_pop(spark, d):
     seq = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     queue = t(spark, d, "lineitem").select(F.concat(F.lit("u"), seq.cast("string")).alias("url"), F.col("l_suppkey").alias("host"), seq.alias("seq"))
     host = F.col("s_suppkey")
-    hosts = t(spark, d, "supplier").filter("s_suppkey % 4 <> 0").select(host.alias("host"), (_ts("2024-05-31 23:00:00") + F.make_dt_interval(mins=(host % 90).cast("int"))).alias("next_eligible"))
+    hosts = t(spark, d, "supplier").filter("s_nationkey < 18").select(host.alias("host"), (_ts("2024-05-31 23:00:00") + F.make_dt_interval(mins=F.col("s_nationkey") * 5)).alias("next_eligible"))
     return frontier.pop(queue, hosts, _ts(NOW), 40)[0]
 
 

@@ -33,20 +33,20 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as listings: the first line is the title; every seventh is closed."""
+    """Documents as listings: the first line is the title; those of one source are closed."""
     i = F.col("doc_id")
     day = lambda n: F.make_timestamp(F.lit(2024), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)) + F.make_interval(days=(i % n).cast("int"))
     return t(spark, d, "documents").select(
         i.alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("description"), F.upper("lang").alias("country"),
         F.element_at(F.array(*map(F.lit, ["remote", "onsite", "hybrid", "unspecified"])), (i % 4 + 1).cast("int")).alias("work_arrangement"),
-        day(61).alias("first_seen"), day(97).alias("last_seen"), F.when(i % 7 == 0, day(101)).alias("closed_at"))
+        day(61).alias("first_seen"), day(97).alias("last_seen"), F.when(F.col("source") == "src1", day(101)).alias("closed_at"))
 
 
 CORPUS = """corpus AS (
   SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, text AS description, upper(lang) AS country,
     ['remote', 'onsite', 'hybrid', 'unspecified'][CAST(doc_id % 4 AS INT) + 1] AS work_arrangement,
     TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 61 AS INT)) AS first_seen, TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 97 AS INT)) AS last_seen,
-    CASE WHEN doc_id % 7 = 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 101 AS INT)) END AS closed_at
+    CASE WHEN source = 'src1' THEN TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 101 AS INT)) END AS closed_at
   FROM documents),
 toks AS (
   SELECT *, regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+') AS tt, regexp_extract_all(lower(description), '[\\p{L}\\p{N}]+') AS bt FROM corpus)"""

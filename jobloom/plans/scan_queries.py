@@ -297,6 +297,6 @@ def saved_search_results(spark, d):
     return search.search_listings(_short(spark, d), search.of_saved_search(saved, include_closed=True)).select("id", "title", "rank")
 
 
-@query("WITH c AS (SELECT doc_id AS id, TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 61 AS INT)) AS first_seen FROM documents WHERE doc_id % 7 <> 0) SELECT id, first_seen FROM c ORDER BY first_seen DESC, id LIMIT 50")
+@query("WITH c AS (SELECT doc_id AS id, TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 61 AS INT)) AS first_seen FROM documents WHERE source IS DISTINCT FROM 'src1') SELECT id, first_seen FROM c ORDER BY first_seen DESC, id LIMIT 50")
 def recent_feed(spark, d):
     return search.search_listings(corpus(spark, d), search.ListingQuery(sort="found", limit=search.recent_limit(400))).select("id", "first_seen")
