@@ -21,7 +21,7 @@ import hashlib
 import itertools
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -91,6 +91,7 @@ _EDGE_L, _EDGE_R = re.compile(r"^[^\w+(@]*"), re.compile(r"[^\w)]*$")
 #: Words that often stand before personal data.
 CUES = frozenset("call phone tel fax mobile contact mail email e-mail card visa payment ip host server address from".split())
 CELLS = 1 << 16  # words, with padding, that are decoded at once
+MOST_WORDS = 8  # that an entity has: cards are written in four groups, phones in up to six
 NEVER = -1e9  # the potential of what the constraint forbids
 
 
@@ -340,9 +341,10 @@ def _neighbours(text: str, a: int, b: int) -> tuple[str, str]:
     return before, found[0] if found else ""
 
 
-def crf_spans(text: str, words: list[tuple[int, int]], path: np.ndarray) -> Iterator[Span]:
-    """The spans that the labels of a run of words tell. As a word has one label, no two of
-    them overlap."""
+def crf_spans(text: str, words: list[tuple[int, int]], path: np.ndarray, free: Callable[[int, int], bool]) -> Iterator[Span]:
+    """The spans that the labels of a run of words tell, where they are ``free``. Neighbours of one kind may have been
+    labelled as one: of each label the longest span from its first word on that is plausible is taken, of up to
+    ``MOST_WORDS`` words, and then the next one after it. As a word is taken once, no two spans overlap."""
     j = 0
     while j < len(path):
         if LABELS[path[j]][0] == "O":
@@ -352,10 +354,18 @@ def crf_spans(text: str, words: list[tuple[int, int]], path: np.ndarray) -> Iter
         j += 1
         while j < len(path) and LABELS[path[j]] == "I-" + kind:
             j += 1
-        (a, b), (c, d) = words[first], words[j - 1]
-        start, end = a + core(text[a:b])[0], c + core(text[c:d])[1]
-        if start < end and _plausible(kind, text[start:end]):
-            yield kind, start, end
+        while first < j:
+            a, b = words[first]
+            start = a + core(text[a:b])[0]
+            for last in range(min(j, first + MOST_WORDS), first, -1):
+                c, d = words[last - 1]
+                end = c + core(text[c:d])[1]
+                if start < end and _plausible(kind, text[start:end]) and free(start, end):
+                    yield kind, start, end
+                    first = last
+                    break
+            else:
+                first += 1
 
 
 def all_spans(texts: list[str | None], model: Model) -> list[tuple[list[Span], list[Span]]]:
@@ -370,11 +380,13 @@ def all_spans(texts: list[str | None], model: Model) -> list[tuple[list[Span], l
             taken = sorted((s, e) for _, s, e in base[i])
             starts = [s for s, _ in taken]
             reach = list(itertools.accumulate((e for _, e in taken), max))
-            for kind, start, end in crf_spans(texts[i], words, path):
-                # Of the pattern spans that start before this one's end, does any reach over its start?
+
+            def free(start: int, end: int, starts=starts, reach=reach) -> bool:
+                """Whether no pattern's span that starts before the end reaches over the start."""
                 n = bisect.bisect_left(starts, end)
-                if not n or reach[n - 1] <= start:
-                    extra[i].append((kind, start, end))
+                return not n or reach[n - 1] <= start
+
+            extra[i] += crf_spans(texts[i], words, path, free)
         waiting.clear()
 
     pending = 0
