@@ -23,10 +23,13 @@ def hostname(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(urls.host(url), "^.*@", ""), ":[0-9]*$", "")
 
 
-def registrable_domain(host: Column, long_suffixes: list[str] = K.LONG_SUFFIXES) -> Column:
-    """The public suffix and one label; the host itself if it is an address or has no more."""
+def registrable_domain(host: Column, long_suffixes: list[str] = K.LONG_SUFFIXES, generic: list[str] = K.GENERIC_LABELS, flat: list[str] = K.FLAT_DOMAINS) -> Column:
+    """The public suffix and one label; the host itself if it is an address or has no more. A suffix has two labels if it is
+    a long one, or if a generic label stands under a country's domain that is not flat; else one."""
     labels = F.split(host, r"\.")
-    n = F.when(F.substring_index(host, ".", -2).isin(long_suffixes), 3).otherwise(2)
+    top, second = F.element_at(labels, -1), F.substring_index(F.substring_index(host, ".", -2), ".", 1)
+    national = top.rlike("^[a-z]{2}$") & ~top.isin(flat) & second.isin(generic)
+    n = F.when(national | F.substring_index(host, ".", -2).isin(long_suffixes), 3).otherwise(2)
     return F.when(host.rlike(r"^[0-9.]+$|:") | (F.size(labels) <= n), host).otherwise(F.array_join(F.slice(labels, -n, n), "."))
 
 

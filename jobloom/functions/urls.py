@@ -20,6 +20,14 @@ def query(url: Column) -> Column:
     return F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
 
 
+def parses(url: Column) -> Column:
+    """Whether a URL, absolute or relative, can be parsed: no control characters, no broken escapes before its query, a host
+    without spaces, a port of digits."""
+    authority, before = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), F.substring_index(F.substring_index(url, "#", 1), "?", 1)
+    broken = url.rlike("[\\x00-\\x1f\\x7f]") | before.rlike("%(?![0-9A-Fa-f]{2})") | authority.rlike(r"[\s<>\"{}|\\^`]") | authority.rlike(r":[^\]:]*[^0-9:\]][^\]:]*$") | url.rlike("^:")
+    return F.coalesce(~broken, F.lit(False))
+
+
 def segments(url: Column) -> Column:
     return F.filter(F.split(path(url), "/"), lambda s: s != "")
 

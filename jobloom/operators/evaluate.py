@@ -159,6 +159,26 @@ def free_scorecard(rows: DataFrame) -> DataFrame:
         rate(c("free"), c("total")).alias("free_rate"), rate(c("w_free"), c("w")).alias("stream_free_share"), rate(c("details_free"), c("details")).alias("coverage"), rate(c("w_detail_free"), c("w_detail")).alias("weighted_coverage"))
 
 
+def expectation_lists(rows: DataFrame) -> DataFrame:
+    """(url, finding) of rows (url, free, expected): what is read without a model and has no expectation (missing), and
+    expectations of what is not (unused)."""
+    free, expected = F.col("free"), F.col("expected")
+    return rows.filter(free != expected).select("url", F.when(free, "missing").otherwise("unused").alias("finding"))
+
+
+def panel(samples: DataFrame, seconds: int, by: list[str]) -> DataFrame:
+    """(start, <by>, increase, rate, highest) of samples (ts, value, ..) by windows of time: what a counter grew by, that by
+    second, and the highest sample."""
+    w = F.window(F.col("ts").cast("timestamp"), f"{seconds} seconds")
+    sums = samples.groupBy(w.alias("w"), *by).agg(F.sum("value").alias("increase"), F.max("value").alias("highest"))
+    return sums.select(F.col("w.start").alias("start"), *by, F.round("increase", 4).alias("increase"), F.round(F.col("increase") / seconds, 6).alias("rate"), "highest")
+
+
+def clamped_ratio(n: Column, d: Column, least: float = 1.0) -> Column:
+    """n by d, d being taken for no less than so much."""
+    return n / F.greatest(d.cast("double"), F.lit(least))
+
+
 def field_divergences(want: DataFrame, got: DataFrame, fields: list[str]) -> DataFrame:
     """(url, field, want, got) where the two differ; both have url and the fields, as strings."""
     long = lambda d, name: d.unpivot("url", fields, "field", name)

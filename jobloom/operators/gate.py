@@ -48,7 +48,7 @@ def url_filter(url: Column, blocked_segments: list[str], blocked_subdomains: lis
     if prefixes:
         param = param | F.exists(keys, lambda k: F.exists(F.array(*[F.lit(p) for p in prefixes]), lambda p: F.startswith(k, p)))
     return chain(
-        ("block", ~url.rlike(r"^(http|/|$)")),
+        ("block", ~(url.rlike(r"^(http|/|$)") & urls.parses(url))),
         ("block", ~F.element_at(labels, -1).isin(K.ALLOWED_TLDS)),
         ("pass", inside(sub, K.PASS_SUBDOMAINS)),
         ("pass", inside(urls.segments(url), K.PASS_SEGMENTS)),

@@ -157,3 +157,32 @@ def ledger_audit(spark, d):
     first = doc.filter("rung <> 'fr'").select("url", F.when(F.col("source") == "src5", "xx").otherwise(F.col("rung")).alias("rung"), (n > 1000).alias("confirmed"), F.when(n < 300, "").otherwise("why").alias("reason"), F.lit(1).alias("seq"))
     again = doc.filter("source = 'src1'").select("url", "rung", F.lit(True).alias("confirmed"), F.lit("again").alias("reason"), F.lit(2).alias("seq"))
     return evaluate.ledger_audit(doc.filter("rung <> 'de'").select("url", "rung", (n > 900).alias("confirmed")), first.unionByName(again))
+
+
+@query("SELECT doc_id AS url, CASE WHEN n_chars > 900 THEN 'missing' ELSE 'unused' END AS finding FROM documents WHERE (n_chars > 900) <> (lang = 'en')")
+def expectation_lists(spark, d):
+    r = _labelled(spark, d)
+    return evaluate.expectation_lists(r.select("url", (F.col("n_chars") > 900).alias("free"), (F.col("lang") == "en").alias("expected")))
+
+
+@query("""SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, event_type, round(sum(value), 4) AS increase, round(sum(value) / 21600, 6) AS rate, max(value) AS highest FROM events GROUP BY 1, 2""")
+def metric_panel(spark, d):
+    return evaluate.panel(t(spark, d, "events"), 21_600, ["event_type"])
+
+
+@query("""SELECT date_trunc('day', ts) AS day, round(count(*) FILTER (WHERE event_type = 'error') / greatest(count(*) FILTER (WHERE event_type = 'purchase'), 1), 4) AS errors_per_purchase FROM events GROUP BY 1""")
+def clamped_ratios(spark, d):
+    n = lambda k: F.count_if(F.col("event_type") == k)
+    g = t(spark, d, "events").groupBy(F.date_trunc("day", "ts").alias("day")).agg(n("error").alias("e"), n("purchase").alias("p"))
+    return g.select("day", F.round(evaluate.clamped_ratio(F.col("e"), F.col("p")), 4).alias("errors_per_purchase"))
+
+
+@query("SELECT page_id, kind NOT IN (1, 2, 3, 4) AS accepted FROM (SELECT page_id, length(html) % 6 AS kind FROM pages)")
+def valid_urls(spark, d):
+    """URLs with a control character, a broken escape, a host with a space, a port that is no number; a broken escape in
+    the query, and nothing wrong."""
+    from jobloom.functions import urls
+
+    kind = F.length("html") % 6
+    bad = ["https://x.org/ok%20?a=%zz", "https://x.org/a\u0001b", "https://x.org/%zz", "https://x y.org/", "https://x.org:80a/", "https://[::1]:80/a b"]
+    return t(spark, d, "pages").select("page_id", urls.parses(F.element_at(F.array(*map(F.lit, bad)), (kind + 1).cast("int"))).alias("accepted"))
