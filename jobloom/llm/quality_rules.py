@@ -24,6 +24,7 @@ STOP_WORDS = (
     "el la los las un una de del en y que a por con para se no es al lo"
 ).split()
 
+LONGEST_STOP_WORD = max(map(len, STOP_WORDS))
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50  # of the base rules
 MAX_LOOKUP = 24  # different repeated windows that are looked up rather than sorted
 
@@ -91,18 +92,18 @@ def repeated_window_words(words: Column) -> Column:
 def with_measures(docs: DataFrame) -> DataFrame:
     """doc_id and the measures of its text."""
     text = F.coalesce("text", F.lit(""))
-    words = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0)
-    stop_words = F.filter(F.split(F.lower(text), SPACE + "+"), lambda w: w.isin(STOP_WORDS))
-    of_words = let(words, lambda ws: F.struct(F.size(ws).alias("n_words"), repeated_window_words(ws).alias("n_repeat_words")))
+    trimmed = F.trim(text, F.lit(SPACE_CHARS))
+    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE + "+"))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(SPACE_CHARS)) != "")
+    stops = lambda ws: F.size(F.filter(ws, lambda w: (F.length(w) <= LONGEST_STOP_WORD) & F.lower(w).isin(STOP_WORDS)))
+    of_words = let(words, lambda ws: F.struct(F.size(ws).alias("n_words"), repeated_window_words(ws).alias("n_repeat_words"), stops(ws).alias("n_stop_words")))
     of_lines = let(lines, lambda ls: F.struct(F.size(ls).alias("n_lines"), (F.size(ls) - F.size(F.array_distinct(ls))).alias("n_dup_lines")))
+    without_space = text
+    for c in SPACE_CHARS:
+        without_space = F.replace(without_space, F.lit(c), F.lit(""))
     rows = docs.select(
-        "doc_id", of_words.alias("of_words"), of_lines.alias("of_lines"),
-        F.length(F.translate(text, SPACE_CHARS, "")).alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).alias("n_symbols"),
-        F.size(stop_words).alias("n_stop_words"),
-    )
-    names = ["of_words.n_words", "word_chars", "n_symbols", "of_lines.n_lines", "of_lines.n_dup_lines", "of_words.n_repeat_words", "n_stop_words"]
+        "doc_id", of_words.alias("of_words"), of_lines.alias("of_lines"), F.length(without_space).alias("word_chars"), F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).alias("n_symbols"))
+    names = ["of_words.n_words", "word_chars", "n_symbols", "of_lines.n_lines", "of_lines.n_dup_lines", "of_words.n_repeat_words", "of_words.n_stop_words"]
     return rows.select("doc_id", *[F.col(c).cast("long").alias(c.split(".")[-1]) for c in names])
 
 
