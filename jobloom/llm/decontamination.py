@@ -37,13 +37,13 @@ from jobloom.llm.tables import map_rows, table
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6  # of an item's score for itself
-WEAK = 0.3  # of an item's score for itself, at most, that its weak postings have together
+WEAK = 0.1  # of an item's score for itself, at most, that its weak postings have together
 SHINGLE = 5
 MIN_OVERLAP = 0.8  # of an item's word shingles
 MIN_PART = 0.5  # of those of its question, and of the words of its answer
 BLOCK = 4  # postings in a block, and items in a block of the strong maxima
 PASS_BYTES = 32 << 20  # of item text that is indexed for one pass
-MIN_PASSAGE, LENGTH_STEP = 64, 4  # words; items of up to 32, 128, 512, … words have an index each
+MIN_PASSAGE, LENGTH_STEP = 128, 4  # words; items of up to 64, 256, 1024, … words have an index each
 CHUNK_CELLS = 1 << 22  # passages times blocks summed at once for a long text
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -106,27 +106,42 @@ class Index:
         self.items = item.astype(np.int32)
         self.weights = raw / np.bincount(item, raw, len(kept))[item] if len(kept) else raw
         self.start = np.concatenate([[0], np.cumsum(df)]).astype(np.int64)
-        self._keep_strong(term, item)
-
-    def _keep_strong(self, term: np.ndarray, item: np.ndarray) -> None:
-        """The largest strong weight of each term in each block of items, flat by term."""
+        # The largest weight of each block of a term's postings, flat by term.
+        n_blocks = -(-df // BLOCK)
+        self.block_start = np.concatenate([[0], np.cumsum(n_blocks)]).astype(np.int64)
+        firsts = np.repeat(self.start[:-1] - BLOCK * self.block_start[:-1], n_blocks) + BLOCK * np.arange(int(n_blocks.sum()))
+        self.block_bounds = np.maximum.reduceat(self.weights, firsts) if len(firsts) else np.zeros(0)
+        self.n_blocks = max(1, -(-len(kept) // BLOCK))
+        self.strong = self._maxima(term, item, self._is_strong(item))
+        self.whole = self._maxima(term, item, np.ones(len(item), bool))
+
+    def _is_strong(self, item: np.ndarray) -> np.ndarray:
         order = np.lexsort((self.weights, item))
         sums = np.cumsum(self.weights[order])
         first = np.searchsorted(item[order], np.arange(len(self.ids)))
         before = np.concatenate([[0.0], sums])[first]
         strong = np.zeros(len(item), bool)
         strong[order] = sums - before[item[order]] > WEAK
-        self.n_blocks = -(-len(self.ids) // BLOCK)
-        cell, at = np.unique(term[strong] * max(1, self.n_blocks) + item[strong] // BLOCK, return_inverse=True)
+        return strong
+
+    def _maxima(self, term: np.ndarray, item: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The largest weight of each term in each block of items, flat by term: where a term starts, blocks, weights."""
+        cell, at = np.unique(term[of] * self.n_blocks + item[of] // BLOCK, return_inverse=True)
         most = np.zeros(len(cell), np.float32)
-        np.maximum.at(most, at, self.weights[strong].astype(np.float32))
-        self.strong_block, self.strong_most = (cell % max(1, self.n_blocks)).astype(np.int32), most
-        self.strong_start = np.searchsorted(cell // max(1, self.n_blocks), np.arange(len(self.term) + 1))
+        np.maximum.at(most, at, self.weights[of].astype(np.float32))
+        return np.searchsorted(cell // self.n_blocks, np.arange(len(self.term) + 1)), (cell % self.n_blocks).astype(np.int32), most
+
+    def _sums(self, maxima: tuple[np.ndarray, np.ndarray, np.ndarray], row: np.ndarray, terms: np.ndarray, rows: int) -> np.ndarray:
+        """For each row, the sums of block maxima over its terms, by block."""
+        start, block, most = maxima
+        n = start[terms + 1] - start[terms]
+        # Places of all entries of these terms, one term after the other.
+        at = np.repeat(start[terms] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.bincount(np.repeat(row, n) * self.n_blocks + block[at], most[at], rows * self.n_blocks).reshape(rows, self.n_blocks)
 
     def postings(self, t: int) -> Postings:
         a, b = self.start[t], self.start[t + 1]
-        weights = self.weights[a:b]
-        return Postings(self.items[a:b], weights, np.maximum.reduceat(weights, np.arange(0, b - a, BLOCK)))
+        return Postings(self.items[a:b], self.weights[a:b], self.block_bounds[self.block_start[t] : self.block_start[t + 1]])
 
     def search(self, terms: list[int], least: float = THRESHOLD) -> dict[int, float]:
         """All items whose score for these different terms is at least ``least``."""
@@ -189,21 +204,13 @@ class Index:
         pair = np.unique(place // step * np.int64(len(self.term) + 1) + terms[place])
         half, t = np.divmod(pair, len(self.term) + 1)
         halves, out = -(-len(terms) // step), []
-        counts = self.strong_start[t + 1] - self.strong_start[t]
-        ends = np.cumsum(counts)
-        chunk = max(1, CHUNK_CELLS // max(1, self.n_blocks))
+        chunk = max(1, CHUNK_CELLS // self.n_blocks)
         for a in range(0, max(1, halves - 1), chunk):
             i, j = np.searchsorted(half, [a, a + chunk + 1])
-            if i == j:
-                continue
-            n = counts[i:j]
-            # Places of all strong postings of these terms, one run after the other.
-            run = np.repeat(self.strong_start[t[i:j]] - (ends[i:j] - n - (ends[i - 1] if i else 0)), n) + np.arange(int(n.sum()))
-            rows = min(chunk, halves - a) + 1
-            cells = np.repeat(half[i:j] - a, n) * self.n_blocks + self.strong_block[run]
-            bound = np.bincount(cells, self.strong_most[run], rows * self.n_blocks).reshape(rows, self.n_blocks)
-            found = np.flatnonzero((bound[:-1] + bound[1:]).max(axis=1) >= THRESHOLD - WEAK - 1e-4) + a
-            out += found[found < max(1, halves - 1)].tolist()
+            if i < j:
+                bound = self._sums(self.strong, half[i:j] - a, t[i:j], min(chunk, halves - a) + 1)
+                found = np.flatnonzero((bound[:-1] + bound[1:]).max(axis=1) >= THRESHOLD - WEAK - 1e-4) + a
+                out += found[found < max(1, halves - 1)].tolist()
         return out
 
     def hits(self, tokens: list[bytes]) -> Iterator[tuple[object, float, float, float, float]]:
@@ -218,8 +225,11 @@ class Index:
         for n in self._candidates(terms, step):
             a, b = n * step, n * step + self.passage
             seen = np.unique(terms[a:b])
+            seen = seen[seen < none]
+            if self._sums(self.whole, np.zeros(len(seen), np.int64), seen, 1).max() < THRESHOLD - 1e-4:
+                continue
             near = None
-            for item, score in self.search(seen[seen < none].tolist()).items():
+            for item, score in self.search(seen.tolist()).items():
                 near = near or (shingles(tokens[a:b]), set(tokens[a:b]))
                 own = self.tokens[item]
                 question, answer = question_answer(self.texts[item])
