@@ -74,13 +74,13 @@ HOT_SHARE = 1e-4
 MAX_SALTS = 4096
 
 
-def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], spread: list[str], how: str = "left") -> DataFrame:
+def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], spread: list[str], how: str = "left", n_rows: int | None = None) -> DataFrame:
     """``rows`` joined with ``facts``, which has one row a key, such that no key's rows land in
     one task: rows of a hot key are dealt over salts by the hash of the columns ``spread``, and
     that key's fact is copied for each salt. Only the hot keys and their counts are broadcast,
     10,000 at most. Null keys match nothing and are dealt by hash too. ``how`` is left or
-    inner; ``rows`` is read twice, so it should be cheap to read."""
-    n_rows = rows.count()
+    inner; ``rows`` is read twice, so it should be cheap to read. Who knows their number can say it."""
+    n_rows = rows.count() if n_rows is None else n_rows
     if n_rows <= HOT_ROWS:  # no key can be hot
         return rows.join(facts, keys, how)
     most = max(HOT_ROWS, int(n_rows * HOT_SHARE))
@@ -90,7 +90,7 @@ def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], spread: list[st
     null = F.lit(False)
     for k in keys:
         null = null | F.col(k).isNull()
-    if hot.isEmpty():
+    if not hot.count():
         dealt = rows.withColumn("_salt", F.when(null, F.pmod(own, F.lit(MAX_SALTS))).otherwise(0).cast("int"))
         copies = facts.withColumn("_salt", F.lit(0))
     else:

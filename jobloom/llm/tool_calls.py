@@ -120,29 +120,24 @@ def levels(calls: DataFrame) -> DataFrame:
     needs, needs_at = save(needs.withColumn("w", F.lit(1).cast("long")), "needs")
     sizes = known.groupBy("conv_id").agg(F.count("*").alias("n_calls"))
     states, states_at = save(known.join(sizes, "conv_id").select(*key, "n_calls", F.lit(0).cast("long").alias("base"), F.lit(False).alias("cyclic")), "states")
-    while not needs.isEmpty():
+    while n_needs := needs.count():
         own = needs.groupBy(*key).agg(F.count("*").alias("degree"), F.min("dep").alias("next"), F.min("w").alias("next_w"))
-        seen, seen_at = save(states.join(own, key, "left"), "seen")
-        facts = seen.select("conv_id", F.col("call_id").alias("dep"), F.col("base").alias("dep_base"), F.col("cyclic").alias("dep_cyclic"), "degree", "next", "next_w", "n_calls")
-        met, met_at = save(hot_join(needs, facts, ["conv_id", "dep"], ["call_id"], "inner"), "met")
-        settled, moves = F.col("degree").isNull(), F.col("degree") == 1
-        far = F.col("w") > F.col("n_calls")
+        facts = states.join(own, key, "left").select("conv_id", F.col("call_id").alias("dep"), F.col("base").alias("dep_base"), F.col("cyclic").alias("dep_cyclic"), "degree", "next", "next_w", "n_calls")
+        settled, moves, far = F.col("degree").isNull(), F.coalesce(F.col("degree") == 1, F.lit(False)), F.col("w") > F.col("n_calls")
+        met = hot_join(needs, facts, ["conv_id", "dep"], ["call_id"], "inner", n_needs).withColumn("moves_on", settled | moves | far | F.col("dep_cyclic"))
+        met, met_at = save(met, "met")
         gained = met.groupBy(*key).agg(
             F.max(F.when(settled | moves, F.col("dep_base") + F.col("w"))).alias("gain"), F.max(far | F.col("dep_cyclic")).alias("turns"))
+        progress = met.filter("moves_on").limit(1).count() > 0
         states, states_at = replaced(states_at, states.join(gained, key, "left").select(
             *key, "n_calls", F.greatest("base", F.coalesce("gain", F.lit(0))).alias("base"), (F.col("cyclic") | F.coalesce("turns", F.lit(False))).alias("cyclic")), "states")
-        left = met.filter(~settled & ~far & ~F.col("dep_cyclic")).select(
-            *key, F.when(moves, F.col("next")).otherwise(F.col("dep")).alias("dep"), F.when(moves, F.col("w") + F.col("next_w")).otherwise(F.col("w")).alias("w"))
-        left = left.groupBy(*key, "dep").agg(F.max("w").alias("w"))
-        # A call known to be cyclic needs nothing more.
-        left = left.join(states.filter("cyclic").select(*key), key, "left_anti")
-        progress = not met.filter(settled | moves | far | F.col("dep_cyclic")).isEmpty()
-        needs, needs_at = replaced(needs_at, left, "needs")
-        discard(spark, seen_at)
-        discard(spark, met_at)
         if not progress:  # every call left waits for a call left
-            waiting = needs.select(*key).distinct().withColumn("waits", F.lit(True))
+            waiting = met.select(*key).distinct().withColumn("waits", F.lit(True))
             return save(states.join(waiting, key, "left").select(*key, F.when(~F.col("cyclic") & F.col("waits").isNull(), F.col("base")).alias("level")), "levels")[0]
+        left = met.join(gained.filter("turns").select(*key), key, "left_anti")  # a call known to be cyclic needs nothing more
+        left = left.filter(~settled).select(*key, F.when(moves, F.col("next")).otherwise(F.col("dep")).alias("dep"), F.when(moves, F.col("w") + F.col("next_w")).otherwise(F.col("w")).alias("w"))
+        needs, needs_at = replaced(needs_at, left.groupBy(*key, "dep").agg(F.max("w").alias("w")), "needs")
+        discard(spark, met_at)
     return states.select(*key, F.when(~F.col("cyclic"), F.col("base")).alias("level"))
 
 
