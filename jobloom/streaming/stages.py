@@ -28,9 +28,11 @@ def start_intake(urls: DataFrame, folder: str, checkpoint: str, cap: int = K.VIS
 
     def take(batch: DataFrame, i: int) -> None:
         seen = spark.createDataFrame([], empty).drop("host") if i == 0 else spark.read.schema("url string, seq long").parquet(f"{folder}/seen/{i - 1}")
-        after, new = frontier.admit(seen, batch.select("url", "host", "seq").persist(), cap)
+        urls_ = batch.select("url", "host", "seq").persist()  # read three times below
+        after, new = frontier.admit(seen, urls_, cap)
         new.write.mode("overwrite").parquet(f"{folder}/admitted/batch={i}")
         after.write.mode("overwrite").parquet(f"{folder}/seen/{i}")
+        urls_.unpersist()
 
     rows = frontier_urls(urls, max_depth)
     return rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
